@@ -4,25 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+from .mixing import mix_sources
 from .runtime import table
+from .sharding import assign_shards
 from .simhash import simhash_groups
 from .substring_dedup import dedup_substrings
+from .token_counts import count_tokens
+
+def tokenizer_file(name: str) -> str:
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), 24)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("place")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", hexed, "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op8_source_mix, op9_simhash_near_dedup)}
 
 
 #: Words are re-joined windows of 20; a window is removed where the same words start earlier.
