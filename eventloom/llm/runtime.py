@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -29,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_large(df: DataFrame) -> DataFrame:
-    """cut(), then let Spark drop the shuffle files that only led there: its cleaner waits for the JVM to collect garbage."""
-    done = cut(df)
+    """cut(), after Spark has dropped the shuffle files of steps that are over: its cleaner waits for the JVM to collect garbage."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    return cut(df)

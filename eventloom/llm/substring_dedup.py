@@ -86,12 +86,12 @@ def _anchors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _runs(rows: DataFrame, flagged: DataFrame, k: int) -> DataFrame:
-    """(rid, id, start long, words array<long>): the maximal runs of windows with repeated anchors, as the hashes of their words."""
+    """(rid, start long, words array<long>): the maximal runs of windows with repeated anchors, as the hashes of their words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(3)
-            for i, j, data, offsets in chunks(batch.column(2)):
+            marks = batch.column(2)
+            for i, j, data, offsets in chunks(batch.column(1)):
                 found = _Anchored(data, offsets, k)
                 wanted = np.asarray(marks.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
                 at = found.at[np.isin(found.anchor, wanted)]
@@ -103,9 +103,9 @@ def _runs(rows: DataFrame, flagged: DataFrame, k: int) -> DataFrame:
                 counts, row = last - first, own[fresh]
                 picked = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
                 where = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(first - found.texts.first[row]), _lists(found.words[picked], counts)], names=["rid", "id", "start", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), pa.array(first - found.texts.first[row]), _lists(found.words[picked], counts)], names=["rid", "start", "words"])
 
-    return rows.join(flagged, "rid").select("rid", "id", "text", "anchors").mapInArrow(scan, "rid long, id long, start long, words array<long>")
+    return rows.select("rid", "text").join(flagged.select("rid", "anchors"), "rid").select("rid", "text", "anchors").mapInArrow(scan, "rid long, start long, words array<long>")
 
 
 def _unpacked(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,37 +129,33 @@ def _branching(runs: DataFrame, k: int) -> DataFrame:
             ends = np.concatenate((run[1:] != run[:-1], [True]))
             starts = np.concatenate(([True], ends[:-1]))
             key = window_hash(words, nodes, k - 1)
-            end = np.uint64(0)
-            before = np.where(starts, end, words[np.maximum(nodes - 1, 0)] | np.uint64(1))
-            after = np.where(ends, end, words[np.minimum(nodes + k - 1, len(words) - 1)] | np.uint64(1))
-            order = np.lexsort((after, before, key))
-            key, before, after = key[order], before[order], after[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])))
-            yield pa.RecordBatch.from_arrays([signed(x[new]) for x in (key, before, after)], names=["node", "before", "after"])
+            before, after = words[np.maximum(nodes - 1, 0)], words[np.minimum(nodes + k - 1, len(words) - 1)]
+            way = np.where(starts | ends, np.uint64(0), mix(before) ^ after)
+            order = np.lexsort((way, key))
+            key, way = key[order], way[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (way[1:] != way[:-1])))
+            yield pa.RecordBatch.from_arrays([signed(x[new]) for x in (key, way)], names=["node", "way"])
 
-    edges = runs.select("words").mapInArrow(scan, "node long, before long, after long")
-    seen = edges.groupBy("node").agg(*(f(c).alias(f"{n}_{c}") for c in ("before", "after") for n, f in (("min", F.min), ("max", F.max))))
-    return seen.where("min_before <> max_before or min_after <> max_after or min_before = 0 or min_after = 0").select("node")
+    seen = runs.select("words").mapInArrow(scan, "node long, way long").groupBy("node").agg(F.min("way").alias("least"), F.max("way").alias("most"))
+    return seen.where("least <> most or least = 0").select("node")
 
 
 def _places(runs: DataFrame, k: int) -> DataFrame:
-    """(node, rid, id, start, pos, sum): where each node stands; sum: a second hash of the run's windows before it, to be subtracted."""
+    """(node, rid, pos, sum): where each node stands, pos being twice its first word, plus 1 where a run ends; sum: a second hash of the run's windows before it, to be subtracted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, begins, nodes, run = _unpacked(batch, 3, k)
+            words, begins, nodes, run = _unpacked(batch, 2, k)
             inside = np.concatenate((run[1:] == run[:-1], [False]))
             step = np.zeros(len(nodes), dtype=np.uint64)
             step[inside] = range_hash(mix(words + np.uint64(k)), nodes[inside], nodes[inside] + k, 1)
             total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(step)[:-1]))
             head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             total = total - total[head][run]
-            where = pa.array(run)
-            start = batch.column(2).take(where)
-            pos = pa.array(np.asarray(start) + nodes - begins[run])
-            yield pa.RecordBatch.from_arrays([signed(window_hash(words, nodes, k - 1)), batch.column(0).take(where), batch.column(1).take(where), start, pos, signed(total)], names=["node", "rid", "id", "start", "pos", "sum"])
+            pos = 2 * (np.asarray(batch.column(1))[run] + nodes - begins[run]) + ~inside
+            yield pa.RecordBatch.from_arrays([signed(window_hash(words, nodes, k - 1)), batch.column(0).take(pa.array(run)), pa.array(pos), signed(total)], names=["node", "rid", "pos", "sum"])
 
-    return runs.select("rid", "id", "start", "words").mapInArrow(scan, "node long, rid long, id long, start long, pos long, sum long")
+    return runs.select("rid", "start", "words").mapInArrow(scan, "node long, rid long, pos long, sum long")
 
 
 def repeated_spans(rows: DataFrame, k: int = 20) -> DataFrame:
@@ -169,17 +165,18 @@ def repeated_spans(rows: DataFrame, k: int = 20) -> DataFrame:
     """
     anchors = cut(_anchors(rows, k)).select("rid", F.explode("anchors").alias("anchor"))
     repeated = cut_large(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    flagged = cut_large(anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")))
+    flagged = cut_large(anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")).join(rows.select("rid", "id"), "rid"))
     runs = cut_large(_runs(rows, flagged, k))
     branching = cut_large(_branching(runs, k))
     cuts = cut_large(_places(runs, k).join(branching, "node"))
-    in_run = Window.partitionBy("rid", "start").orderBy("pos")
-    paths = cuts.select("rid", "id", "node", "pos", (F.lead("pos").over(in_run) - F.col("pos")).alias("n"), F.lead("sum").over(in_run).alias("upto"), "sum").where("n is not null")
+    in_text = Window.partitionBy("rid").orderBy("pos")
+    paths = cuts.select("rid", "node", "pos", F.shiftright(F.lead("pos").over(in_text) - F.col("pos"), 1).alias("n"), F.lead("sum").over(in_text).alias("upto"), "sum").where("pos % 2 = 0")
     # A path's identity: its first node, its length and the second hash of its windows (sums are modulo 2 ** 64, compared through both halves).
     low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     high = lambda c: F.shiftrightunsigned(c, 32)
     paths = paths.withColumn("dl", low("upto") - low("sum")).withColumn("borrow", F.when(F.col("dl") < 0, 1).otherwise(0))
     paths = paths.withColumn("dh", (high("upto") - high("sum") - F.col("borrow")).bitwiseAND(0xFFFFFFFF)).withColumn("check", F.shiftleft("dh", 32).bitwiseOR(F.col("dl").bitwiseAND(0xFFFFFFFF)))
+    paths = paths.join(flagged.select("rid", "id"), "rid").withColumn("pos", F.shiftright("pos", 1))
     paths = cut(paths.select("node", "n", "check", "rid", F.struct("id", "rid", "pos").alias("place")))
     first = cut(paths.groupBy("node", "n", "check").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
     again = paths.join(first, ["node", "n", "check"]).where(~F.col("place").eqNullSafe(F.col("source")))
