@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _byte_values(family: int) -> np.ndarray:
+def byte_values(family: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _ODD[family])
 
 
@@ -86,7 +86,7 @@ class Texts:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        return range_hash(_byte_values(family)[self.data], self.starts, self.ends, family)
+        return range_hash(byte_values(family)[self.data], self.starts, self.ends, family)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .licenses import scan_licenses
 from .mixing import mix_sources
+from .quality import fit_quality, grade_documents, grades_of
 from .runtime import table
 from .sharding import assign_shards
 from .simhash import simhash_groups
@@ -36,6 +38,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, grades_of(table(spark, sf_dir, "labels")))
+    return grade_documents(docs, model).drop("text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("place")
 
@@ -46,7 +58,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op8_source_mix, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op6_ordinal_quality, op7_license_scan, op8_source_mix, op9_simhash_near_dedup)}
 
 
 #: Words are re-joined windows of 20; a window is removed where the same words start earlier.
