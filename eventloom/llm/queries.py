@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .ann import nearest
+from .embedding_dedup import near_vectors
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, grade_documents, grades_of
@@ -38,6 +40,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, grades_of(table(spark, sf_dir, "labels")))
@@ -57,8 +64,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", hexed, "component_id")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op6_ordinal_quality, op7_license_scan, op8_source_mix, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op5_learned_partitions, op6_ordinal_quality, op7_license_scan, op8_source_mix, op9_simhash_near_dedup, op10_embedding_near_dedup)}
 
 
 #: Words are re-joined windows of 20; a window is removed where the same words start earlier.
