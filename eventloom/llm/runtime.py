@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
@@ -23,14 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later reads survive a lost executor and start from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut_large(df: DataFrame) -> DataFrame:
-    """cut(), after Spark has dropped the shuffle files of steps that are over: its cleaner waits for the JVM to collect garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return cut(df)
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder: later reads survive a lost executor and start from there.
+
+    The shuffle files that led to it go as soon as it is written.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import Texts, chunks, mix, range_hash, signed, window_hash
-from .runtime import cut, cut_large
+from .runtime import cut
 
 #: Words in the grams that anchor a window (fewer, if windows are shorter).
 GRAM = 6
@@ -164,11 +164,11 @@ def repeated_spans(rows: DataFrame, k: int = 20) -> DataFrame:
     Earlier means a smaller (id, rid), a null id before all others, or the same row and an earlier start. Rows without such a window are left out.
     """
     anchors = cut(_anchors(rows, k)).select("rid", F.explode("anchors").alias("anchor"))
-    repeated = cut_large(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    flagged = cut_large(anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")).join(rows.select("rid", "id"), "rid"))
-    runs = cut_large(_runs(rows, flagged, k))
-    branching = cut_large(_branching(runs, k))
-    cuts = cut_large(_places(runs, k).join(branching, "node"))
+    repeated = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    flagged = cut(anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")).join(rows.select("rid", "id"), "rid"))
+    runs = cut(_runs(rows, flagged, k))
+    branching = cut(_branching(runs, k))
+    cuts = cut(_places(runs, k).join(branching, "node"))
     in_text = Window.partitionBy("rid").orderBy("pos")
     paths = cuts.select("rid", "node", "pos", F.shiftright(F.lead("pos").over(in_text) - F.col("pos"), 1).alias("n"), F.lead("sum").over(in_text).alias("upto"), "sum").where("pos % 2 = 0")
     # A path's identity: its first node, its length and the second hash of its windows (sums are modulo 2 ** 64, compared through both halves).
@@ -181,7 +181,7 @@ def repeated_spans(rows: DataFrame, k: int = 20) -> DataFrame:
     first = cut(paths.groupBy("node", "n", "check").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
     again = paths.join(first, ["node", "n", "check"]).where(~F.col("place").eqNullSafe(F.col("source")))
     span = F.struct(F.col("place.pos").alias("from"), (F.col("place.pos") + F.col("n") + (k - 1)).alias("upto"))
-    return cut_large(again.groupBy("rid").agg(F.collect_list(span).alias("spans")))
+    return cut(again.groupBy("rid").agg(F.collect_list(span).alias("spans")))
 
 
 def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
