@@ -23,7 +23,7 @@ from .components import connected_components
 from .runtime import cut
 
 #: Fingerprints in a block of the lowest level that Spark sees, and in a leaf within a block.
-BLOCK, LEAF = 2048, 16
+BLOCK, LEAF = 16384, 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -65,7 +65,7 @@ def gray_rank(fp: str) -> F.Column:
 
 
 def _prefix(rank: F.Column, bits: int) -> F.Column:
-    return F.shiftrightunsigned(rank, 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftrightunsigned(F.shiftrightunsigned(rank, 63 - bits), 1)
 
 
 def _levels(blocks: int) -> list[int]:
@@ -83,7 +83,7 @@ def _apart(a: str, b: str) -> F.Column:
     return F.bit_count(F.expr(f"({a}.ones & ~{b}.any) | ({b}.ones & ~{a}.any)"))
 
 
-def _forest(pairs: np.ndarray, up: dict[int, int]) -> list[tuple[int, int]]:
+def spanning_links(pairs: np.ndarray, up: dict[int, int]) -> list[tuple[int, int]]:
     """Those of the pairs that join trees of the forest `up`, which takes them in: the same components by fewer links."""
 
     def top(x: int) -> int:
@@ -136,8 +136,7 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     size = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any"))
     nodes = {deepest: cut(size)}
     for upper, lower in zip(levels[-2::-1], levels[:0:-1], strict=True):
-        parent = F.shiftrightunsigned("node", lower - upper) if upper else F.lit(0).cast("long")
-        nodes[lower] = nodes[lower].withColumn("parent", parent)
+        nodes[lower] = nodes[lower].withColumn("parent", F.shiftrightunsigned("node", lower - upper))
         nodes[upper] = _shared(nodes[lower], "parent", "ones", "any").withColumnRenamed("parent", "node")
     pairs = nodes[0].select(F.col("node").alias("x"), F.col("node").alias("y"))
     for level in levels[1:]:
@@ -157,7 +156,7 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
                 x, y = (np.asarray(v.values.to_numpy(zero_copy_only=False)).view(np.uint64) for v in (xs, ys))
                 up: dict[int, int] = {}
                 for found in _close(x, y, most, same):
-                    if links := _forest(np.stack([x[found[:, 0]].view(np.int64), y[found[:, 1]].view(np.int64)], axis=1), up):
+                    if links := spanning_links(np.stack([x[found[:, 0]].view(np.int64), y[found[:, 1]].view(np.int64)], axis=1), up):
                         kept = np.array(links, dtype=np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
 
