@@ -79,10 +79,11 @@ def fit_grid(x: np.ndarray, rows: int, least: float, target: float = TARGET, see
         side = rng.standard_normal(own.shape)
         side -= (side * own).sum(axis=1, keepdims=True) * own
         side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-30)
-        there = grid.locate(least * own + math.sqrt(1 - least * least) * side)[0]
-        _, ga, gb = grid.locate(own)
-        at = np.arange(len(own))
-        gaps.append(ga[at, there // len(grid.second)] + gb[at, there % len(grid.second)])
+        there, ha, hb = grid.locate(least * own + math.sqrt(1 - least * least) * side)
+        here, ga, gb = grid.locate(own)
+        at, n = np.arange(len(own)), len(grid.second)
+        # A pair meets when either of its vectors visits the other's cell.
+        gaps.append(np.minimum(ga[at, there // n] + gb[at, there % n], ha[at, here // n] + hb[at, here % n]))
     return Grid(grid.first, grid.second, min(limit, float(np.quantile(np.concatenate(gaps), target)) + 1e-9))
 
 
