@@ -1,40 +1,5 @@
-"""What the operators of this package share: reading a table and cutting lineage."""
+"""What the operators of this package share with the library: reading a table and cutting lineage."""
 
-from __future__ import annotations
+from eventloom.runtime import cut, shared_dir, table
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    sc = spark.sparkContext
-    if not (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later reads survive a lost executor and start from there.
-
-    The shuffle files that led to it go as soon as it is written.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+__all__ = ["cut", "shared_dir", "table"]
