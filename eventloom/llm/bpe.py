@@ -99,23 +99,26 @@ class Bpe:
             at -= size
         return ids[::-1]
 
-    def _entry(self, word: str) -> tuple[str, int, bytes, list[int]]:
+    def _entry(self, word: str) -> tuple[str, int, bytes]:
         ids = self.encode_word(word)
-        return ",".join(map(str, ids)), len(ids), b"".join(self.text[k] for k in ids), ids
+        return ",".join(map(str, ids)), len(ids), b"".join(self.text[k] for k in ids)
 
-    def entries(self, text: str) -> list[tuple[str, int, bytes, list[int]]]:
-        """(ids as text, their number, their bytes, ids) of each pre-token; an added token's string is that token."""
+    def entries(self, text: str) -> list[tuple[str, int, bytes]]:
+        """(decimal ids joined by commas, their number, their bytes) of each pre-token; an added token's string is that token."""
         if self.specials is None or not self.specials.search(text):
             return list(map(self.words.__getitem__, self.find(text)))
         out = []
         for k, part in enumerate(self.specials.split(text)):
             if k % 2:
                 token = self.added[part]
-                out.append((str(token), 1, self.text[token], [token]))
+                out.append((str(token), 1, self.text[token]))
             else:
                 out.extend(map(self.words.__getitem__, self.find(part)))
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return [int(k) for e in self.entries(text) for k in e[0].split(",")]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.text[k] for k in ids).decode("utf-8", errors="replace")
 
@@ -136,7 +139,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [[k for e in bpe.entries(text) for k in e[3]] for text in batch.column(1).to_pylist()]
+            ids = [bpe.encode(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return _per_text(docs, id_col, text_col).mapInArrow(scan, "id long, ids array<int>").withColumnRenamed("id", id_col)
