@@ -1,8 +1,8 @@
 """Near-duplicate embeddings through an inverted multi-index.
 
 Vectors of length 1 are cut into two halves, each with a codebook of its own; the pairs of codes form a grid of cells. From every vector the cells
-are visited in the order of their least distance (the halves' squared distances to the cells' borders, added), until pairs at the
-limit of the wanted cosine would be met at the target rate; what the cells hold is then compared exactly.
+are visited whose least distance (the halves' squared distances to the cells' borders, added) a pair at the limit of the wanted cosine
+can span, so every pair meets; what the cells hold is then compared exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .runtime import cut
 from .simhash import spanning_links
 from .vectors import cosine, matrix, sampled, unit, usable
 
-#: Vectors that the codebooks are fitted on at most; vectors wanted in a cell; vectors of a cell in one task; share of limit pairs whose cells are visited.
-SAMPLE, CELL, BLOCK, TARGET = 16384, 256, 4096, 0.9995
+#: Vectors that the codebooks are fitted on at most; vectors wanted in a cell; vectors of a cell in one task.
+SAMPLE, CELL, BLOCK = 16384, 256, 4096
 
 
 @dataclass(frozen=True)
@@ -49,11 +49,13 @@ class Grid:
         return a * len(self.second) + b, ga, gb
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(own cell, row, visited cell): codes of the first halves by rising gap, and with each those of the second that the reach still allows."""
+        """(own cell, row, visited cell): the own cell and the later ones within reach; a pair in two cells meets in the later one."""
         cell, ga, gb = self.locate(x)
         row, a = np.nonzero(ga <= self.reach)
         k, b = np.nonzero(gb[row] <= (self.reach - ga[row, a])[:, None])
-        return cell, row[k], a[k] * len(self.second) + b
+        row, to = row[k], a[k] * len(self.second) + b
+        later = to >= cell[row]
+        return cell, row[later], to[later]
 
 
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -66,29 +68,16 @@ def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
     return book
 
 
-def fit_grid(x: np.ndarray, rows: int, least: float, target: float = TARGET, seed: int = 3) -> Grid:
-    """Fit on unit vectors x, a sample of `rows` ones. The reach is the one at which `target` of pairs with cosine `least`, made in random directions, meet; never more than pairs can be apart."""
+def fit_grid(x: np.ndarray, rows: int, least: float, seed: int = 3) -> Grid:
+    """Fit on unit vectors x, a sample of `rows` ones. The reach is the squared distance of a pair with cosine `least`: the summed squared gaps to borders between two vectors never exceed their squared distance, so no pair is missed, whatever directions the vectors differ in."""
     rng = np.random.default_rng(seed)
     k = max(1, min(1024, round(math.sqrt(rows / CELL)), len(x)))
     half = max(1, x.shape[1] // 2)
-    limit = 2 - 2 * least
-    grid = Grid(_codebook(x[:, :half], k, rng), _codebook(x[:, half:], k, rng) if x.shape[1] > half else np.zeros((1, 0)), limit)
-    gaps = []
-    for i in range(0, min(len(x), 4096), 512):
-        own = x[i : i + 512]
-        side = rng.standard_normal(own.shape)
-        side -= (side * own).sum(axis=1, keepdims=True) * own
-        side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-30)
-        there, ha, hb = grid.locate(least * own + math.sqrt(1 - least * least) * side)
-        here, ga, gb = grid.locate(own)
-        at, n = np.arange(len(own)), len(grid.second)
-        # A pair meets when either of its vectors visits the other's cell.
-        gaps.append(np.minimum(ga[at, there // n] + gb[at, there % n], ha[at, here // n] + hb[at, here % n]))
-    return Grid(grid.first, grid.second, min(limit, float(np.quantile(np.concatenate(gaps), target)) + 1e-9))
-
-
-def _compare(visitors: pa.Table, residents: pa.Table, grid: Grid, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(visitor row, resident row, cosine) of the pairs at `least` or above; a pair that also meets in the visitor's cell is taken only by the smaller id."""
+    return Grid(_codebook(x[:, :half], k, rng), _codebook(x[:, half:], k, rng) if x.shape[1] > half else np.zeros((1, 0)), 2 - 2 * least + 1e-9)
+
+
+def _compare(visitors: pa.Table, residents: pa.Table, cell: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(visitor row, resident row, cosine) of the pairs at `least` or above; of two that live in `cell`, the smaller id is the visitor."""
     x, y = matrix(visitors["vec"]), matrix(residents["vec"])
     p, r = np.asarray(visitors["id"]), np.asarray(residents["id"])
     ux, uy = unit(x), unit(y)
@@ -99,16 +88,13 @@ def _compare(visitors: pa.Table, residents: pa.Table, grid: Grid, least: float)
         a, b = a[other], b[other]
         if not len(a):
             continue
-        _, ga, gb = grid.locate(uy)
-        home = np.asarray(visitors["home"])[a]
-        back = ga[b, home // len(grid.second)] + gb[b, home % len(grid.second)] <= grid.reach
-        mine = ~back | (p[a] < r[b])
+        mine = (np.asarray(visitors["home"])[a] != cell) | (p[a] < r[b])
         a, b = a[mine], b[mine]
         exact = cosine(x[a], y[b])
         yield a[exact >= least], b[exact >= least], exact[exact >= least]
 
 
-def near_vectors(rows: DataFrame, least: float = 0.95, target: float = TARGET, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 3) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 3) -> DataFrame:
     """One row per row of rows: id_col, n_links (others at cosine `least` or above that were found), component_id (smallest id reachable), kept (id = component_id).
 
     Vectors that are null, zero, hold null or non-finite components, or have another length than most, link with nothing: 0 links, their own
@@ -120,7 +106,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, target: float = TARGET, i
     total = classes.count()
     if total == 0:
         return marked.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    grid = fit_grid(sampled(classes, "vec", SAMPLE, seed), total, least, target, seed)
+    grid = fit_grid(sampled(classes, "vec", SAMPLE, seed), total, least, seed)
     shipped = rows.sparkSession.sparkContext.broadcast(grid)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +131,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, target: float = TARGET, i
         if len(visitors) and len(residents):
             p, r, pn, rn = (np.asarray(t[c]) for c in ("id", "n") for t in (visitors, residents))
             links_p, links_r, up = np.zeros(len(p), dtype=np.int64), np.zeros(len(r), dtype=np.int64), {}
-            for a, b, _ in _compare(visitors, residents, shipped.value, least):
+            for a, b, _ in _compare(visitors, residents, visitors["cell"][0].as_py(), least):
                 links_p += np.bincount(a, weights=rn[b], minlength=len(p)).astype(np.int64)
                 links_r += np.bincount(b, weights=pn[a], minlength=len(r)).astype(np.int64)
                 kept = np.array(spanning_links(np.stack([p[a], r[b]], axis=1), up), dtype=np.int64).reshape(-1, 2)
