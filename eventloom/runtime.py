@@ -15,15 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where that is unset (tests)."""
+    """spark.checkpoint.dir, which driver and executors must share. Where it is unset, a local master (tests) gets an own folder; on a cluster that is an error."""
     sc = spark.sparkContext
     if not (path := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: later reads survive a lost executor and start from there. Its shuffle files go once it is written."""
     spark = df.sparkSession
@@ -34,3 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what cut() stored for frames that nothing needs any more."""
+    for df in frames:
+        stored = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if stored.isDefined():
+            remove(df.sparkSession, stored.get())
