@@ -1,11 +1,13 @@
 """Words of many texts at once: numpy over the UTF-8 bytes of an Arrow batch.
 
 Separators are ASCII, so a word's bytes are the same whether it is looked for among characters or among bytes.
-A word's 64-bit hash is a polynomial over its bytes, taken from prefix sums; a window's hash is a polynomial over its words' hashes.
+A word's 64-bit hash adds up its bytes' random values, each times a random number of its place in the word; a window's hash mixes its words'
+hashes pairwise, then the pairs, and so on. Neither has the periodic words on which polynomials modulo 2 ** 64 collide.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text that are looked at together; a longer text is looked at alone.
 CHUNK_BYTES = 1 << 21
+#: Bytes whose words are hashed together.
+HASH_BYTES = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -46,29 +50,28 @@ def byte_values(family: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * _ODD[family])
 
 
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+_PLACES: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ..., n modulo 2 ** 64."""
-    got = _POWERS.get((base, 0))
-    if got is None or len(got) <= n:
-        got = np.full(max(n + 1, CHUNK_BYTES + 1), base, dtype=np.uint64)
-        got[0] = 1
-        got = np.cumprod(got, dtype=np.uint64)
-        if len(got) <= 2 * CHUNK_BYTES:
-            _POWERS[base, 0] = got
-    return got[: n + 1]
+def place_values(family: int, n: int) -> np.ndarray:
+    """An odd random number for each of the first n places; those of a chunk's length are kept."""
+    got = _PLACES.get(family)
+    if got is None or len(got) < n:
+        got = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * _ODD[1 - family] + _ODD[family]) | np.uint64(1)
+        if len(got) <= CHUNK_BYTES:
+            _PLACES[family] = got
+    return got[:n]
 
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
-    """Hashes of values[start:end], equal for equal runs wherever they stand."""
-    base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[family]
-    n = len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(base, n)[:n], out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _ODD[family])
+def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of values[start:end], equal for equal runs wherever they stand. Runs are in order and do not overlap."""
+    lengths = ends - starts
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(before, lengths)
+    inside = values if len(place) == len(values) else values[place + np.repeat(starts, lengths)]
+    sums = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(inside * place_values(family, int(lengths.max(initial=0)))[place], out=sums[1:])
+    return mix(sums[before + lengths] - sums[before] + lengths.astype(np.uint64) * _ODD[family])
 
 
 class Texts:
@@ -86,7 +89,15 @@ class Texts:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        return range_hash(byte_values(family)[self.data], self.starts, self.ends, family)
+        own = byte_values(family)
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(out):  # some words at a time: eight bytes a byte are little then, and stay in the cache
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + HASH_BYTES, side="right")))
+            low = self.starts[i]
+            out[i:j] = run_hash(own[self.data[low : self.ends[j - 1]]], self.starts[i:j] - low, self.ends[i:j] - low, family)
+            i = j
+        return out
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -104,8 +115,27 @@ class Texts:
         return np.flatnonzero(own[: n - k + 1] == own[k - 1 :])
 
 
+def _joined(x: np.ndarray, y: np.ndarray, family: int) -> np.ndarray:
+    z = x * _ODD[family]
+    z += y
+    z ^= z >> np.uint64(32)
+    z *= np.uint64(0xD6E8FEB86659FD93)
+    z ^= z >> np.uint64(29)
+    return z
+
+
 def window_hash(hashes: np.ndarray, at: np.ndarray, k: int, family: int = 0) -> np.ndarray:
-    return range_hash(hashes, at, at + k, family) if len(at) else np.zeros(0, dtype=np.uint64)
+    """Hashes of the runs of k words that begin at `at`: of halves that are runs of a power of two, joined again and again."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    done, width, whole, size = None, 0, hashes, 1  # done: of the runs of `width` words; whole: of a power of two
+    while width < k:
+        if k & size:
+            done = whole if done is None else _joined(done[: len(whole) - width], whole[width:], family)
+            width += size
+        if width < k:
+            whole, size = _joined(whole[:-size], whole[size:], family), 2 * size
+    return mix(done[at] ^ np.uint64(k))
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,5 +158,34 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         i = j
 
 
+_LOWER_TABLE, _SPACE = LOWER.tobytes(), re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingles(text: bytes, width: int, size: int = 1 << 18) -> Iterator[list[bytes]]:
+    """The runs of `width` words of a text with A-Z lower-cased, joined by one space, some at a time; fewer words are one run, no words none.
+
+    About `size` bytes of the text become word objects at once, whatever its length.
+    """
+    held: list[bytes] = []
+    at, first = 0, True
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text) and (space := _SPACE.search(text, end)):
+            end = space.start()
+        elif end < len(text):
+            end = len(text)
+        words = held + text[at:end].translate(_LOWER_TABLE).split()
+        at = end
+        if len(words) >= width:
+            joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+            starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
+            yield [joined[s:e] for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+            held, first = words[len(words) - width + 1 :], False
+        else:
+            held = words
+    if first and held:
+        yield [b" ".join(held)]
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

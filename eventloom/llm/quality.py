@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import ALNUM, SPACED, Texts, chunks, mix, range_hash
+from .bytescan import ALNUM, SPACED, Texts, chunks, mix, run_hash
 from .runtime import cut
 
 #: Labelled rows that a model is fitted on at most, taken by a seeded hash of their ids.
@@ -32,7 +32,7 @@ def _shapes(texts: Texts) -> np.ndarray:
     new[1:] = kind[1:] != kind[:-1]
     new[texts.starts] = True
     at = np.concatenate(([0], np.cumsum(new)))
-    return range_hash(mix(kind[new].astype(np.uint64)), at[texts.starts], at[texts.ends], 0)
+    return run_hash(mix(kind[new].astype(np.uint64)), at[texts.starts], at[texts.ends])
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,5 @@
 """What the operators of this package share with the library: reading a table and cutting lineage."""
 
-from eventloom.runtime import cut, shared_dir, table
+from eventloom.runtime import cut, drop, shared_dir, table
 
-__all__ = ["cut", "shared_dir", "table"]
+__all__ = ["cut", "drop", "shared_dir", "table"]

@@ -3,7 +3,8 @@
 Edges are windows of k words, nodes the k-1 words that two consecutive windows share. A node through which every document passes the same
 way (one edge in, one edge out, never an end) is inside a path; all other nodes branch. Branching nodes are joined back to the places where
 they stand, which cuts every document into whole paths: each place of a path holds all of it, so the path's smallest source coordinate is
-the smallest one of each of its windows. A second, independent hash of the whole span must agree before two places count as the same.
+the smallest one of each of its windows. Hashes only propose: the source's words are brought to every place that repeats them, by their
+coordinates, and compared word by word before anything is removed.
 
 Only windows that can repeat enter the graph: a window's anchor is the smallest hash among its short grams, equal windows have equal anchors,
 and a window whose anchor stands once in the corpus stands once itself.
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytescan import Texts, chunks, mix, range_hash, signed, window_hash
-from .runtime import cut
+from .bytescan import Texts, chunks, mix, signed, window_hash
+from .runtime import cut, drop
+from .skew import fresh, join_salted
 
 #: Words in the grams that anchor a window (fewer, if windows are shorter).
 GRAM = 6
@@ -121,7 +123,7 @@ def _unpacked(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, n
 
 
 def _branching(runs: DataFrame, k: int) -> DataFrame:
-    """(node long): the nodes that end a path: those with different edges in or out, or where a run begins or ends."""
+    """(node long, n): the nodes that end a path: those with different edges in or out, or where a run begins or ends. n: the places where each stands."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,22 +135,22 @@ def _branching(runs: DataFrame, k: int) -> DataFrame:
             way = np.where(starts | ends, np.uint64(0), mix(before) ^ after)
             order = np.lexsort((way, key))
             key, way = key[order], way[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (way[1:] != way[:-1])))
-            yield pa.RecordBatch.from_arrays([signed(x[new]) for x in (key, way)], names=["node", "way"])
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (way[1:] != way[:-1]))))
+            yield pa.RecordBatch.from_arrays([signed(key[new]), signed(way[new]), pa.array(np.diff(np.append(new, len(key))))], names=["node", "way", "n"])
 
-    seen = runs.select("words").mapInArrow(scan, "node long, way long").groupBy("node").agg(F.min("way").alias("least"), F.max("way").alias("most"))
-    return seen.where("least <> most or least = 0").select("node")
+    seen = runs.select("words").mapInArrow(scan, "node long, way long, n long").groupBy("node").agg(F.min("way").alias("least"), F.max("way").alias("most"), F.sum("n").alias("n"))
+    return seen.where("least <> most or least = 0").select("node", "n")
 
 
 def _places(runs: DataFrame, k: int) -> DataFrame:
-    """(node, rid, pos, sum): where each node stands, pos being twice its first word, plus 1 where a run ends; sum: a second hash of the run's windows before it, to be subtracted."""
+    """(node, rid, pos, sum): where each node stands, pos being twice its first word, plus 1 where a run ends; sum: hashes of the run's windows before it, to be subtracted."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, begins, nodes, run = _unpacked(batch, 2, k)
             inside = np.concatenate((run[1:] == run[:-1], [False]))
             step = np.zeros(len(nodes), dtype=np.uint64)
-            step[inside] = range_hash(mix(words + np.uint64(k)), nodes[inside], nodes[inside] + k, 1)
+            step[inside] = window_hash(words, nodes[inside], k, 1)
             total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(step)[:-1]))
             head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             total = total - total[head][run]
@@ -158,30 +160,78 @@ def _places(runs: DataFrame, k: int) -> DataFrame:
     return runs.select("rid", "start", "words").mapInArrow(scan, "node long, rid long, pos long, sum long")
 
 
+def _span_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (rid, from, upto) -> with `words`: the bytes of the words of rows' texts there, joined by one space."""
+    wanted = spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("from", "upto"))).alias("spans"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = np.frombuffer(text.as_buffer() if text.is_valid else b"", dtype=np.uint8)
+                found = Texts(data, np.array([0, len(data)]))
+                low, high = (np.asarray(own.values.field(k)) for k in (0, 1))
+                for i in range(0, len(low), 1024):  # a text whose passages all repeat is not held several times over
+                    some = slice(i, i + 1024)
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(low[some]), pa.int64()), pa.array(low[some]), pa.array(high[some]), pa.array([_joined_words(found, a, b) for a, b in zip(low[some], high[some], strict=True)], pa.large_binary())], names=["rid", "from", "upto", "words"])
+
+    return rows.select("rid", "text").join(wanted, "rid").select("rid", "text", "spans").mapInArrow(scan, "rid long, from long, upto long, words binary")
+
+
+def agreeing(mine: bytes, theirs: bytes, k: int) -> list[tuple[int, int]]:
+    """The runs of k words or more that two passages have in the same places, as (first word, word after the last)."""
+    if mine == theirs:
+        return [(0, mine.count(b" ") + 1)]
+    runs, begin = [], 0
+    for at, (x, y) in enumerate([*zip(mine.split(b" "), theirs.split(b" "), strict=False), (b"", b" ")]):
+        if x != y:
+            runs += [(begin, at)] * (at - begin >= k)
+            begin = at + 1
+    return runs
+
+
+def _joined_words(texts: Texts, low: int, high: int) -> bytes:
+    return b" ".join(texts.data[texts.starts[low] : texts.ends[high - 1]].tobytes().split())
+
+
 def repeated_spans(rows: DataFrame, k: int = 20) -> DataFrame:
-    """rows (rid long unique, id long, text) -> (rid, spans array<struct<from, upto>>): word ranges whose windows also start earlier.
+    """rows (rid long unique, id long, text) -> (rid, spans array<struct<from, upto, words>>): word ranges whose windows also start earlier, and the words that stand there.
 
-    Earlier means a smaller (id, rid), a null id before all others, or the same row and an earlier start. Rows without such a window are left out.
+    Earlier means a smaller (id, rid), a null id before all others, or the same row and an earlier start. Rows without such a window are left
+    out. The ranges are found by hashes; `words` are those of the earlier place, and are still to be compared.
     """
-    anchors = cut(_anchors(rows, k)).select("rid", F.explode("anchors").alias("anchor"))
-    repeated = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    flagged = cut(anchors.join(repeated, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")).join(rows.select("rid", "id"), "rid"))
+    grams = cut(_anchors(rows, k))
+    anchors = grams.select("rid", F.explode("anchors").alias("anchor"))
+    repeated = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    flagged = cut(join_salted(anchors, repeated, "anchor", "n", "rid").groupBy("rid").agg(F.collect_set("anchor").alias("anchors")).join(rows.select("rid", "id"), "rid"))
+    drop(grams, repeated)
     runs = cut(_runs(rows, flagged, k))
     branching = cut(_branching(runs, k))
-    cuts = cut(_places(runs, k).join(branching, "node"))
+    cuts = cut(join_salted(_places(runs, k), branching, "node", "n", "rid"))
+    drop(runs, branching)
     in_text = Window.partitionBy("rid").orderBy("pos")
     paths = cuts.select("rid", "node", "pos", F.shiftright(F.lead("pos").over(in_text) - F.col("pos"), 1).alias("n"), F.lead("sum").over(in_text).alias("upto"), "sum").where("pos % 2 = 0")
-    # A path's identity: its first node, its length and the second hash of its windows (sums are modulo 2 ** 64, compared through both halves).
+    # A path's identity: its first node, its length and the hashes of its windows (sums are modulo 2 ** 64, compared through both halves).
     low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     high = lambda c: F.shiftrightunsigned(c, 32)
     paths = paths.withColumn("dl", low("upto") - low("sum")).withColumn("borrow", F.when(F.col("dl") < 0, 1).otherwise(0))
     paths = paths.withColumn("dh", (high("upto") - high("sum") - F.col("borrow")).bitwiseAND(0xFFFFFFFF)).withColumn("check", F.shiftleft("dh", 32).bitwiseOR(F.col("dl").bitwiseAND(0xFFFFFFFF)))
     paths = paths.join(flagged.select("rid", "id"), "rid").withColumn("pos", F.shiftright("pos", 1))
-    paths = cut(paths.select("node", "n", "check", "rid", F.struct("id", "rid", "pos").alias("place")))
-    first = cut(paths.groupBy("node", "n", "check").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"))
-    again = paths.join(first, ["node", "n", "check"]).where(~F.col("place").eqNullSafe(F.col("source")))
-    span = F.struct(F.col("place.pos").alias("from"), (F.col("place.pos") + F.col("n") + (k - 1)).alias("upto"))
-    return cut(again.groupBy("rid").agg(F.collect_list(span).alias("spans")))
+    paths = cut(paths.select(F.struct("node", "n", "check").alias("path"), F.struct("id", "rid", "pos").alias("place")))
+    drop(cuts, flagged)
+    first = cut(paths.groupBy("path").agg(F.min("place").alias("source"), F.count(F.lit(1)).alias("times")).where("times > 1"))
+    again = join_salted(paths, first, "path", "times", "place").where(~F.col("place").eqNullSafe(F.col("source")))
+    # Neighbouring paths that repeat neighbouring words of one source are one span.
+    again = again.select("place.rid", F.col("place.pos").alias("from"), (F.col("place.pos") + F.col("path.n") + (k - 1)).alias("upto"), F.col("source.rid").alias("source"), (F.col("source.pos") - F.col("place.pos")).alias("off"))
+    before = Window.partitionBy("rid").orderBy("from")
+    again = again.withColumn("new", F.coalesce((F.lag("source").over(before) != F.col("source")) | (F.lag("off").over(before) != F.col("off")) | (F.lag("upto").over(before) < F.col("from")), F.lit(True)).cast("int"))
+    again = again.withColumn("span", F.sum("new").over(before)).groupBy("rid", "span", "source", "off").agg(F.min("from").alias("from"), F.max("upto").alias("upto"))
+    again = cut(again.select("rid", "from", "upto", F.struct(F.col("source").alias("rid"), (F.col("from") + F.col("off")).alias("from"), (F.col("upto") + F.col("off")).alias("upto")).alias("origin")))
+    drop(paths, first)
+    origins = cut(again.groupBy("origin").agg(F.count(F.lit(1)).alias("times")))
+    words = _span_words(rows, origins.select("origin.rid", "origin.from", "origin.upto")).select(F.struct("rid", "from", "upto").alias("origin"), "words")
+    words = words.join(origins, "origin")
+    spans = cut(join_salted(again, cut(words), "origin", "times", "rid").groupBy("rid").agg(F.collect_list(F.struct("from", "upto", "words")).alias("spans")))
+    return spans
 
 
 def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,17 +239,21 @@ def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_
 
     Added columns: n_words, n_removed (longs) and kept_sha256, the digest of the kept words joined by one space. Words are runs of non-space
     characters, unchanged. Windows are judged on the input; of repeated rows or ids the first in the order of (id, place in the table) counts
-    as earlier, a null id before all. A removed word goes with the white space after it; texts that lose nothing stay as they are to the
-    byte. A null text has no words, stays null and hashes as the empty string; an empty table gives no rows. Other columns stay; one that
-    has the name of an added column gives way to it. docs must be a table that reads back in the same order.
+    as earlier, a null id before all. No word goes unless the same words were compared with it at the earlier place. A removed word goes with
+    the white space after it; texts that lose nothing stay as they are to the byte. A null text has no words, stays null and hashes as the
+    empty string; texts of any length are taken whole, a chunk in memory at a time and a longer text alone; an empty table gives no rows.
+    Other columns stay, whatever their names; one that has the name of an added column gives way to it. docs must be a table that reads back
+    in the same order.
     """
     added = {"n_words", "n_removed", "kept_sha256"}
-    rows = docs.select([c for c in docs.columns if c not in added]).withColumn("_rid", F.monotonically_increasing_id())
-    slim = rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(slim, k).withColumnRenamed("rid", "_rid").withColumnRenamed("spans", "_spans")
-    joined = rows.join(spans, "_rid", "left")
-    text_at, spans_at = joined.columns.index(text_col), joined.columns.index("_spans")
-    kept_columns = {c: joined.columns.index(c) for c in rows.columns if c != "_rid"}
+    docs = docs.select([c for c in docs.columns if c.lower() not in added])
+    rid, spans_col = fresh(docs.columns, "row_number"), fresh(docs.columns, "repeated_spans")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    slim = rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spans = repeated_spans(slim, k).select(F.col("rid").alias(rid), F.col("spans").alias(spans_col))
+    joined = rows.join(spans, rid, "left")
+    text_at, spans_at = joined.columns.index(text_col), joined.columns.index(spans_col)
+    kept_columns = {c: joined.columns.index(c) for c in docs.columns}
     schema = ", ".join(f"`{c}` {'string' if c == text_col else joined.schema[c].dataType.simpleString()}" for c in kept_columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +269,11 @@ def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_
                     continue
                 found = Texts(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
                 gone = np.zeros(len(found.starts) + 1, dtype=np.int32)
-                ends = span.values
-                np.add.at(gone, np.asarray(ends.field(0)), 1)
-                np.add.at(gone, np.asarray(ends.field(1)), -1)
+                low, high, words = (span.values.field(c) for c in range(3))
+                for a, b, w in zip(low.to_pylist(), high.to_pylist(), words, strict=True):
+                    for i, j in agreeing(_joined_words(found, a, b), w.as_buffer().to_pybytes(), k):
+                        gone[a + i] += 1
+                        gone[a + j] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
                 after = np.append(found.starts[1:], len(data))
                 cover = np.zeros(len(data) + 1, dtype=np.int32)
