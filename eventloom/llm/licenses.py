@@ -1,13 +1,15 @@
 """Licence scans with a positional index of rare words.
 
-Each template is a run of words, and a phrase within it that must be there. A template is filed under its rarest word, the one that the fewest
-documents of the corpus hold. A document's places of that word propose where the template would begin; the other words are then looked for at
-their distances from there, and the mandatory phrase decides.
+Each template is a whole licence text, or a phrase, and has a mandatory key phrase. The index files every word of the key phrases with its
+postings, (template, place). A document looks up its licence words, rarest in the corpus first: a template whose key words it does not all
+hold is out; for the others the places of the rarest word propose where the template would begin, and the next words' postings, by relative
+position, leave only the beginnings on which all agree. What is left is the key phrase, word by word; around it the rest of the text is scored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,104 +18,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import ALNUM, Texts, byte_values, chunks, range_hash
+from . import license_texts as texts
+from .bytescan import ALNUM, Texts, chunks
+
+
+def license_words(text: str) -> list[str]:
+    """Runs of letters, digits and characters beyond ASCII, with A-Z lower-cased."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
 @dataclass(frozen=True)
 class Template:
-    """words: the whole run; phrase: the part of it that must stand there word by word; base: a phrase whose places are counted."""
+    """text: the whole licence or notice; phrase: the part of it that must stand there word by word; base: a phrase whose places are counted."""
 
     label: str
-    words: str
+    text: str
     phrase: str
     base: bool = False
 
 
-# Well-known phrases of public licences, lower case, words of letters and digits.
+# Well-known phrases and texts of public licences.
 TEMPLATES = (
     Template("cc-by", "cc by", "cc by", base=True),
     Template("gpl", "general public license", "general public license", base=True),
     Template("reserved", "all rights reserved", "all rights reserved", base=True),
-    Template("agpl", "gnu affero general public license", "affero general public license"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("cc-by-nc", "licensed under cc by nc", "cc by nc"),
-    Template("cc-by-nd", "licensed under cc by nd", "cc by nd"),
-    Template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
-    Template("cc0", "cc0 1 0 universal", "cc0 1 0"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("lgpl", "gnu lesser general public license", "lesser general public license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("agpl", "GNU Affero General Public License", "affero general public license"),
+    Template("apache-2.0", texts.APACHE_2_NOTICE, "apache license version 2 0"),
+    Template("bsd", texts.BSD_2 + texts.BSD_3_CLAUSE, "redistribution and use in source and binary forms"),
+    Template("bsl-1.0", texts.BOOST, "to any person or organization obtaining a copy of the software"),
+    Template("cc-by", texts.CC_DEED, "you must give appropriate credit provide a link to the license"),
+    Template("cc-by-nc", "licensed under CC BY-NC", "cc by nc"),
+    Template("cc-by-nd", "licensed under CC BY-ND", "cc by nd"),
+    Template("cc-by-sa", "licensed under CC BY-SA", "cc by sa"),
+    Template("cc0", texts.CC0_NOTICE, "cc0 1 0"),
+    Template("gpl-3.0", texts.GPL_NOTICE, "free software foundation either version 3 of the license"),
+    Template("gpl-3.0", "licensed under the GNU General Public License version 3", "gnu general public license version 3"),
+    Template("isc", texts.ISC, "permission to use copy modify and or distribute this software"),
+    Template("lgpl", "GNU Lesser General Public License", "lesser general public license"),
+    Template("mit", texts.MIT, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    Template("mit", "released under the MIT License", "mit license"),
+    Template("mpl-2.0", texts.MPL_2_NOTICE, "mozilla public license v 2 0"),
+    Template("unlicense", texts.UNLICENSE, "this is free and unencumbered software"),
+    Template("zlib", texts.ZLIB, "the origin of this software must not be misrepresented"),
 )
 
 
-class PhraseIndex:
-    """Templates filed under their rarest words. documents: how many documents there are; frequency: how many hold each word."""
+class PositionalIndex:
+    """Postings of licence words. documents: how many documents there are; frequency: how many hold each word."""
 
     def __init__(self, templates: tuple[Template, ...], documents: int = 0, frequency: dict[str, int] | None = None):
-        self.templates = templates
-        self.vocabulary = sorted({w for t in templates for w in t.words.split()})
+        runs, phrases = [license_words(t.text) for t in templates], [license_words(t.phrase) for t in templates]
+        self.vocabulary = sorted({w for run in runs for w in run})
         data = np.frombuffer(" ".join(self.vocabulary).encode(), dtype=np.uint8)
-        texts = Texts(data, np.array([0, len(data)]), ALNUM)
-        hashes = range_hash(byte_values(0)[data], texts.starts, texts.ends, 0)
+        hashes = Texts(data, np.array([0, len(data)]), ALNUM).hashes()
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order
         frequency = frequency or {}
         #: By word: how much its presence tells, from how few documents hold it.
         self.idf = np.array([math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in self.vocabulary])
         at = {w: k for k, w in enumerate(self.vocabulary)}
-        self.runs = [np.array([at[w] for w in t.words.split()]) for t in templates]
-        self.phrases = []
-        for t in templates:
-            words, phrase = t.words.split(), t.phrase.split()
-            start = next(k for k in range(len(words)) if words[k : k + len(phrase)] == phrase)
-            self.phrases.append((start, start + len(phrase)))
-        #: By template: the place of its rarest word. It is taken from the mandatory phrase: where that word is missing, the phrase is too.
-        self.rarest = [max(range(a, b), key=lambda k, run=run: (self.idf[run[k]], -k)) for run, (a, b) in zip(self.runs, self.phrases, strict=True)]
-
-    def words(self, texts: Texts) -> np.ndarray:
+        #: By template: its words, where its key phrase begins, and the phrase's places by falling IDF of their words.
+        self.runs = [np.array([at[w] for w in run]) for run in runs]
+        self.begin = np.array([next(k for k in range(len(run)) if run[k : k + len(p)] == p) for run, p in zip(runs, phrases, strict=True)])
+        self.order = [np.array(sorted(range(b, b + len(p)), key=lambda k, run=run: (-self.idf[run[k]], k))) for run, p, b in zip(self.runs, phrases, self.begin, strict=True)]
+        #: By word: the templates whose key phrase holds it; by template: how many different words that phrase has, and its rarest word.
+        keys = [np.unique(run[places]) for run, places in zip(self.runs, self.order, strict=True)]
+        self.postings = [np.array([t for t, own in enumerate(keys) if w in own], dtype=np.int64) for w in range(len(self.vocabulary))]
+        self.posted = np.array([len(p) for p in self.postings], dtype=np.int64)
+        self.flat, self.offset = np.concatenate([*self.postings, np.zeros(0, dtype=np.int64)]), np.concatenate(([0], np.cumsum(self.posted)))
+        self.needed = np.array([len(own) for own in keys])
+        self.rarest = np.array([run[places[0]] for run, places in zip(self.runs, self.order, strict=True)])
+
+    def words(self, found: Texts) -> np.ndarray:
         """Each word's number in the vocabulary, or -1."""
-        hashes = texts.hashes()
+        hashes = found.hashes()
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.numbers[at], -1).astype(np.int32)
 
-    def places(self, texts: Texts) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(template, text, word where its mandatory phrase begins, share of its weight that stands in place), for each template found."""
-        number = self.words(texts)
+    def candidates(self, own: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, template): the templates of which a text holds all key words; own, word: the known words of texts, as pairs."""
+        pairs = np.unique(own * len(self.vocabulary) + word)
+        own, word = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
+        counts = self.posted[word]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.offset[word], counts)
+        met, times = np.unique(np.repeat(own, counts) * len(self.runs) + self.flat[at], return_counts=True)
+        full = met[times == self.needed[met % len(self.runs)]]
+        return full // len(self.runs), full % len(self.runs)
+
+    def places(self, found: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, text, word where its key phrase begins, share of its weight that stands in place), for each template found."""
+        number = self.words(found)
         known = np.flatnonzero(number >= 0)
-        # Only the surroundings of known words matter: a padded copy makes every relative position readable.
-        pad = max(map(len, self.runs))
-        padded = np.concatenate((np.full(pad, -1, dtype=np.int32), number, np.full(pad, -1, dtype=np.int32)))
-        out = []
-        for k, (run, (a, b), rare) in enumerate(zip(self.runs, self.phrases, self.rarest, strict=True)):
-            begin = known[number[known] == run[rare]] - rare
-            if not len(begin):
+        own = np.searchsorted(found.first, known, side="right") - 1
+        texts_met, templates_met = self.candidates(own, number[known])
+        by_word = np.lexsort((known, own, number[known]))
+        key = number[known][by_word] * np.int64(len(found.offsets)) + own[by_word]
+        for t in np.unique(templates_met):
+            run, order, mine = self.runs[t], self.order[t], texts_met[templates_met == t]
+            # The rarest word's places in the candidate texts propose beginnings.
+            wanted = run[order[0]] * np.int64(len(found.offsets)) + mine
+            low, high = np.searchsorted(key, wanted), np.searchsorted(key, wanted, side="right")
+            counts = high - low
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+            text, start = np.repeat(mine, counts), known[by_word[at]] - order[0]
+            begin, end = found.first[text], found.first[text + 1]
+            inside = (start + order.min() >= begin) & (start + order.max() < end)
+            text, start = text[inside], start[inside]
+            for place in order[1:]:  # postings of the next rarest words, moved to the beginnings that they propose
+                agree = number[start + place] == run[place]
+                text, start = text[agree], start[agree]
+            if not len(text):
                 continue
-            own = np.searchsorted(texts.first, begin + rare, side="right") - 1
-            at = begin[:, None] + np.arange(len(run))
-            inside = (at >= texts.first[own][:, None]) & (at < texts.first[own + 1][:, None])
-            match = inside & (padded[at + pad] == run)
-            found = match[:, a:b].all(axis=1)
-            share = (match * self.idf[run]).sum(axis=1) / self.idf[run].sum()
-            out.append((k, own[found], begin[found] + a, np.minimum(share[found], 1.0)))
-        return out
+            at = start[:, None] + np.arange(len(run))
+            stands = (at >= found.first[text][:, None]) & (at < found.first[text + 1][:, None])
+            stands[stands] = number[at[stands]] == np.broadcast_to(run, at.shape)[stands]
+            share = (stands * self.idf[run]).sum(axis=1) / self.idf[run].sum()
+            yield int(t), text, start + self.begin[t], np.minimum(share, 1.0)
 
 
 def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """All documents, and how many of them hold each licence word: as many rows reach the driver as the templates have words."""
-    index = PhraseIndex(templates)
+    index = PositionalIndex(templates)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.vocabulary) + 1, dtype=np.int64)
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(0)):
-                texts = Texts(data, offsets, ALNUM, lower=True)
-                number = index.words(texts)
+                found = Texts(data, offsets, ALNUM, lower=True)
+                number = index.words(found)
                 known = np.flatnonzero(number >= 0)
-                pairs = np.unique((np.searchsorted(texts.first, known, side="right") - 1) * len(index.vocabulary) + number[known])
+                pairs = np.unique((np.searchsorted(found.first, known, side="right") - 1) * len(index.vocabulary) + number[known])
                 total[:-1] += np.bincount(pairs % len(index.vocabulary), minlength=len(index.vocabulary))
                 total[-1] += j - i
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
@@ -125,15 +159,15 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
 
 def license_places(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, label, base, start, share): every place of every template's mandatory phrase; start is its first word, share how much of the template stands around it."""
-    index = PhraseIndex(templates, *word_frequencies(docs, templates, text_col))
+    index = PositionalIndex(templates, *word_frequencies(docs, templates, text_col))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, offsets in chunks(batch.column(1)):
-                texts = Texts(data, offsets, ALNUM, lower=True)
-                for k, own, start, share in index.places(texts):
+                found = Texts(data, offsets, ALNUM, lower=True)
+                for k, own, start, share in index.places(found):
                     t, n = templates[k], len(own)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + i)), pa.array([t.label] * n, pa.string()), pa.array([t.base] * n, pa.bool_()), pa.array(start - texts.first[own]), pa.array(share)], names=["id", "label", "base", "start", "share"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + i)), pa.array([t.label] * n, pa.string()), pa.array([t.base] * n, pa.bool_()), pa.array(start - found.first[own]), pa.array(share)], names=["id", "label", "base", "start", "share"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(scan, "id long, label string, base boolean, start long, share double").withColumnRenamed("id", id_col)
@@ -144,22 +178,23 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
 
     Words are runs of a-z, 0-9 and characters beyond ASCII, after lower-casing A-Z. n_base counts the places of base phrases; first_word and last_word are
     the smallest and the largest start of one (null without any); base_labels and labels are distinct, sorted and comma-joined, and
-    labels holds both the base ones and those of the other templates. score is the largest share of a template's weight (rarer words weigh more) around its
-    mandatory phrase, 0 without any. A null text counts as empty: no words, no labels. Repeated rows and null ids stay; an empty table gives no rows.
+    labels holds both the base ones and those of the other templates whose key phrase stands in the text. score is the largest share of a template's
+    weight (a word's IDF over all documents, and a little) that stands in its place around a key phrase, 0 without any. A null text counts as empty:
+    no words, no labels. Texts of any length are scanned whole. Repeated rows and null ids stay; other columns are not read; an empty table gives no rows.
     """
-    index = PhraseIndex(templates, *word_frequencies(docs, templates, text_col))
+    index = PositionalIndex(templates, *word_frequencies(docs, templates, text_col))
     labels = sorted({t.label for t in templates})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
-                texts = Texts(data, offsets, ALNUM, lower=True)
+                found = Texts(data, offsets, ALNUM, lower=True)
                 n = j - i
                 count, score = np.zeros(n, dtype=np.int64), np.zeros(n)
                 first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 held, held_base = np.zeros((n, len(labels)), dtype=bool), np.zeros((n, len(labels)), dtype=bool)
-                for k, own, start, share in index.places(texts):
-                    t, begin = templates[k], start - texts.first[own]
+                for k, own, start, share in index.places(found):
+                    t, begin = templates[k], start - found.first[own]
                     held[own, labels.index(t.label)] = True
                     np.maximum.at(score, own, share)
                     if t.base:
@@ -170,7 +205,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                 none = count == 0
                 said = [[",".join(labels[k] for k in np.flatnonzero(row)) for row in h] for h in (held_base, held)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(texts.counts()), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), *(pa.array(s, pa.string()) for s in said), pa.array(score)],
+                    [batch.column(0).slice(i, n), pa.array(found.counts()), pa.array(count), pa.array(first, mask=none), pa.array(last, mask=none), *(pa.array(s, pa.string()) for s in said), pa.array(score)],
                     names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
                 )
 
