@@ -18,33 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .bytescan import chunks
+from .bytescan import chunks, shingles
 from .components import connected_components
 from .runtime import cut
+from .skew import join_salted
 
 #: Fingerprints in a block of the lowest level that Spark sees, and in a leaf within a block.
 BLOCK, LEAF = 16384, 16
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _majority(text: bytes, shingle: int) -> int:
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    width = min(shingle, len(words))
-    starts = np.concatenate(([0], ends[: len(words) - width])).tolist()
-    pieces = [joined[s:e] for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.frombuffer(b"".join(map(xxh64_digest, pieces, repeat(42))), dtype=np.uint8).reshape(-1, 8), axis=1)
-    ones = sum((bits[i : i + 60_000].sum(axis=0, dtype=np.uint32) for i in range(0, len(bits), 60_000)), np.zeros(64, dtype=np.int64))
-    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big", signed=True)
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for pieces in shingles(text, shingle):
+        bits = np.unpackbits(np.frombuffer(b"".join(map(xxh64_digest, pieces, repeat(42))), dtype=np.uint8).reshape(-1, 8), axis=1)
+        ones, n = ones + bits.sum(axis=0, dtype=np.int64), n + len(bits)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp long): each whole text's SimHash, as a signed long.
 
     Words are runs of non-space characters of the text with A-Z lower-cased; a text with fewer words than a shingle is one shingle, one
-    without words (null, empty, blank) has fingerprint 0. Rows stay as they are, repeats and null ids included; other columns are not read.
+    without words (null, empty, blank) has fingerprint 0. Texts of any length are hashed whole, some shingles at a time. Rows stay as they are,
+    repeats and null ids included; other columns are not read.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,18 +163,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: str
     """One row per row of docs: id_col, fp long, component_id (the smallest id among documents that it reaches by links, itself included).
 
     Equal fingerprints link, those of texts without words (fingerprint 0) too. Repeated rows stay. A null id takes no part in the smallest
-    id, so a component of null ids only has a null component_id. An empty table gives no rows.
+    id, so a component of null ids only has a null component_id. Other columns are not read, whatever their names. An empty table gives no rows.
     """
-    marked = cut(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+    marked = cut(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id")).withColumn("at", F.monotonically_increasing_id())
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
     roots = connected_components(near_links(distinct, most)).withColumnRenamed("node", "fp")
-    classes = cut(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    found = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(classes.join(found, "root").select("fp", "component_id"))
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
-
-
-def one_per_group(docs: DataFrame, shingle: int = 4, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are near copies of one with a smaller id; all columns stay. A null id, or a repeated row of the kept id, stays as it is."""
-    groups = simhash_groups(docs, shingle, most, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id").where("_id <> component_id").select("_id").distinct()
-    return docs.join(groups, docs[id_col] == groups["_id"], "left_anti")
+    classes = cut(distinct.join(roots, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    found = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    classes = cut(join_salted(classes, found, "root", "prints", "fp").select("fp", "component_id", "rows"))
+    return join_salted(marked, classes, "fp", "rows", "at").select(F.col("id").alias(id_col), "fp", "component_id")
