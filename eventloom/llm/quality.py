@@ -19,8 +19,8 @@ from .runtime import cut
 
 #: Labelled rows that a model is fitted on at most, taken by a seeded hash of their ids.
 SAMPLE_ROWS = 12000
-#: Share of the sample's rows (and rows at least) that must have a feature before it gets a weight.
-LEAST_SHARE, LEAST_ROWS = 0.002, 4
+#: Rows of the sample that must have a feature before it gets a weight.
+LEAST_ROWS = 4
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 97, 65, 48, 97
 
@@ -75,7 +75,7 @@ class OrdinalModel:
 def fit_ordinal(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray, levels: int = 2, lasso: float = 7e-4, steps: int = 300, refit: int = 150) -> OrdinalModel:
     """Fit by full-batch gradient steps with per-coordinate scaling (Adam), each followed by a shrinkage of the weights that drops idle ones; the last `refit` steps no longer shrink those that are left. Grades are 0 to levels. Without rows the model knows nothing: score 0, thresholds 0."""
     names, at, seen = np.unique(feature, return_inverse=True, return_counts=True)
-    keep = seen >= max(LEAST_ROWS, LEAST_SHARE * len(grades))
+    keep = seen >= LEAST_ROWS
     names, number = names[keep], np.cumsum(keep) - 1
     used = keep[at]
     rows, at, value, n = rows[used], number[at[used]], value[used].astype(np.float64), len(grades)
@@ -139,17 +139,16 @@ def _feature_rows(docs: DataFrame, keep: list[str], names: np.ndarray | None) ->
 def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 2, rows: int = SAMPLE_ROWS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """The model of a bounded sample: `rows` graded documents, by a seeded hash of their ids, or all if there are fewer.
 
-    grades has id_col and `grade` (0 to levels); null ids and grades are left out, of several grades of an id the lowest counts. Only features
-    that enough rows of the sample have reach the driver: about 1 / LEAST_SHARE times a document's distinct features, whatever the corpus's size.
-    Without graded documents the model gives every text the score 0 and thresholds of 0.
+    grades has id_col and `grade` (0 to levels); null ids and grades are left out, of several grades of an id the lowest counts, and of several
+    texts of an id the first by code point (null: empty), so the sample has `rows` rows at most however often an id stands. Only features that
+    LEAST_ROWS rows of the sample have reach the driver. Without graded documents the model gives every text the score 0 and thresholds of 0.
     """
     graded = grades.where(F.col(id_col).isNotNull() & F.col("grade").between(0, levels)).groupBy(F.col(id_col).alias("_id")).agg(F.min("grade").cast("int").alias("grade"))
     sample = graded.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most `rows` ids
-    texts = cut(texts.select("_id", "grade", F.coalesce("text", F.lit("")).alias("text")))
+    texts = cut(texts.groupBy("_id").agg(F.min("grade").alias("grade"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
     seen = _feature_rows(texts, ["_id"], None).select(F.explode("feature").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    least = max(LEAST_ROWS, LEAST_SHARE * texts.count())
-    names = np.sort(np.array([r["feature"] for r in seen.where(F.col("n") >= least).collect()], dtype=np.int64).view(np.uint64))
+    names = np.sort(np.asarray(seen.where(F.col("n") >= LEAST_ROWS).select("feature").toArrow().column(0), dtype=np.int64).view(np.uint64))
     found = _feature_rows(texts, ["_id", "grade"], names).orderBy("_id").toArrow()
     lists = found.column("feature").combine_chunks()
     number = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
@@ -162,10 +161,10 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, keep_from: int = 2, le
     """docs with expected_grade (sum of the tails), tail (P(grade >= keep_from)) and keep (tail >= least); one row per row of docs.
 
     A null or empty text has no features and is judged by the thresholds alone. Repeated rows stay; an empty table gives no rows; a column that
-    has the name of an added one gives way to it. The whole text counts, whatever its length.
+    has the name of an added one gives way to it, others stay whatever their names. The whole text counts, whatever its length.
     """
     added = ["expected_grade", "tail", "keep"]
-    docs = docs.select([c for c in docs.columns if c not in added])
+    docs = docs.select([c for c in docs.columns if c.lower() not in added])
     columns, text_at = docs.columns, docs.columns.index(text_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
