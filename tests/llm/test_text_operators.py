@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventloom.llm import bpe, licenses, mixing, sharding, simhash, substring_dedup, token_counts
+from eventloom.llm import bpe, licenses, mixing, sharding, simhash, skew, substring_dedup, token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -252,25 +252,81 @@ def test_mixing(spark, docs, empty):
     assert [(r["size"], r.taken) for r in mixing.mix_sources(blank).collect()] == [(0, 0), (0, 0)]
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
-    capped = mixing.targets([1000, 10, 10], [1, 2, 3])
-    assert capped == [960, 30, 30]
-    assert mixing.targets([], []) == [] and mixing.targets([0, 5], [1, 1]) == [0, 5]
+def targets(sizes, weights, most=3.0):
+    """Words per source by the definition: share by weight, fill those above their limit, share the rest again."""
+    found, free, left = [0.0] * len(sizes), {k for k, n in enumerate(sizes) if n > 0}, float(sum(sizes))
+    while free:
+        share = left / math.fsum(weights[k] for k in free)
+        full = {k for k in free if weights[k] * share > most * sizes[k]}
+        for k in full or free:
+            found[k] = most * sizes[k] if full else weights[k] * share
+        left -= sum(found[k] for k in full)
+        free = free - full if full else set()
+    return found
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [1000, 10, 10], [0, 5], [5], [3, 200, 1, 40, 7000, 2, 2, 9, 10**9]])
+def test_mixing_targets(spark, sizes):
+    docs = spark.createDataFrame([(n, f"s{k:03}") for k, n in enumerate(sizes)], "size long, source string")
+    plan = mixing.plan_sources(docs).orderBy("src").collect()
+    wanted = targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(sizes))])
+    assert [p.source for p in plan] == [f"s{k:03}" for k in range(len(sizes))]
+    assert all(abs(p.target - w) <= 1e-9 * max(1, w) for p, w in zip(plan, wanted, strict=True))
+
+
+def check_schedule(plan, slots):
+    """Each source's slots take its words to the word, each pass in order; every long stretch of the schedule is near the weights."""
+    rows = {p.src: p for p in plan}
+    for src, p in rows.items():
+        own = sorted((s for s in slots if s.src == src), key=lambda s: s["rank"])
+        assert [s["rank"] for s in own] == list(range(p.slots)) and sum(s.words for s in own) == p.words and all(s.words > 0 for s in own)
 
 
 def test_schedule_spreads_sources(spark):
     docs = spark.createDataFrame([(k, "w " * 4096, "abc"[k % 3]) for k in range(60)], "doc_id long, text string, source string")
-    sized = docs.select(mixing.word_count("text").alias("size"), "source")
-    plan = mixing.plan_sources(sized)
-    slots = mixing.schedule(spark, plan).orderBy("slot").collect()
-    assert sum(s.words for s in slots) == sum(p["words"] for p in plan)
+    plan = mixing.plan_sources(docs.select(mixing.word_count("text").alias("size"), "source"))
+    slots = mixing.schedule(plan).orderBy("slot").collect()
+    plan = plan.collect()
+    check_schedule(plan, slots)
     half = [s for s in slots if s.slot < max(t.slot for t in slots) / 2]
     for p in plan:
         share = sum(s.words for s in half if s.src == p["src"]) / sum(s.words for s in half)
         assert abs(share - p["words"] / sum(q["words"] for q in plan)) < 0.06
 
 
+@pytest.mark.parametrize("few", [20_000, 10])
+def test_many_small_sources_beside_a_large_one(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    monkeypatch.setattr(mixing, "PART_SOURCES", 50)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    rows = [(k, "w " * (1 + k % 7), f"host{k % 300}" if k % 3 else None) for k in range(1200)] + [(5000 + k, "v " * 500, "host1") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.plan_sources(docs.select(mixing.word_count("text").alias("size"), "source"))
+    slots = mixing.schedule(plan).collect()
+    check_schedule(plan.collect(), slots)
+    assert len(slots) < 3 * sum(p.slots for p in plan.collect())
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    source = {r[0]: r[2] for r in rows}
+    for r in mixing.mix_sources(docs).collect():
+        assert r.taken <= 3 * r["size"]
+        size[source[r.doc_id]] += r["size"]
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    names = sorted((s for s in size if s is not None), key=str.encode) + [None]
+    wanted = targets([size[s] for s in names], [mixing.WEIGHTS[k % 3] for k in range(len(names))])
+    assert all(abs(target[s] - w) < 1e-6 * max(1, w) and abs(taken[s] - w) <= 1 for s, w in zip(names, wanted, strict=True))
+
+
+def test_salted_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT", 10)
+    big = spark.createDataFrame([(1 if k < 300 else k % 9, k) for k in range(400)] + [(None, 1000), (77, 1001)], "key long, at long")
+    sizes = big.groupBy("key").agg(F.count("*").alias("rows")).where("key <> 77").withColumn("v", F.col("key") * 2)
+    for how in ("inner", "left", "left_semi"):
+        plain = sorted(map(tuple, big.join(sizes.drop("rows"), "key", how).collect()), key=str)
+        assert sorted(map(tuple, skew.join_salted(big, sizes, "key", "rows", "at", how).collect()), key=str) == plain
+    assert skew.fresh(["Place", "place_", "x"], "place") == "place__"
+
+
 def brute_simhash(text, width=4):
     words = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
     shingles = [b" ".join(words[p : p + width]) for p in range(max(1, len(words) - width + 1))] if words else []
