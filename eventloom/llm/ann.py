@@ -20,7 +20,9 @@ from .runtime import cut
 from .vectors import cosine, matrix, sampled, unit, usable
 
 #: Vectors that the partitions are fitted on at most; neighbours in the graph; the recall that held-out queries must reach.
-SAMPLE, DEGREE, TARGET = 8192, 10, 0.97
+SAMPLE, DEGREE, TARGET = 8192, 10, 0.93
+#: Parts at most, and sampled vectors that a part must rest on: fine parts let a query leave out more of what is far.
+PARTS, PER_PART = 256, 16
 #: Vectors in a block of a part, and queries that meet a block at once.
 BLOCK, QUERIES = 8192, 16384
 
@@ -102,12 +104,15 @@ def _classifier(x: np.ndarray, wanted: np.ndarray, steps: int = 200) -> tuple[np
     return w[:-1], w[-1]
 
 
-def fit_router(x: np.ndarray, rows: int, k: int, target: float = TARGET, seed: int = 5) -> Router:
-    """Fit on unit vectors x, a sample of `rows` ones. A quarter is held out: the probes are the fewest with which its k nearest among itself are found at the target rate."""
+def fit_router(x: np.ndarray, k: int, target: float = TARGET, seed: int = 5) -> Router:
+    """Fit on unit vectors x, a sample. A quarter is held out: the probes are the fewest with which its k nearest among itself are found at the target rate.
+
+    In the whole table the k nearest are nearer than in the sample, so the rate there is rather higher. A target of 1 looks into all parts.
+    """
     held = np.zeros(len(x), dtype=bool)
     held[3::4] = True
     own = x[~held]
-    parts = 1 << max(0, min(8, round(math.log2(max(1.0, math.sqrt(rows / 50)))), int(math.log2(max(1, len(own) // 16)))))
+    parts = 1 << int(math.log2(max(1, min(PARTS, len(own) // PER_PART))))
     if parts < 2 or held.sum() <= k:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1, 1.0)
     graph = neighbour_graph(own, DEGREE)
@@ -124,7 +129,7 @@ def fit_router(x: np.ndarray, rows: int, k: int, target: float = TARGET, seed: i
     near = neighbour_graph(test, k)
     needed = np.take_along_axis(turn, order[near, 0], axis=1)
     recall = [(needed < p).mean() for p in range(1, parts + 1)]
-    probes = next(p for p in range(1, parts + 1) if recall[p - 1] >= target)
+    probes = parts if target >= 1 else next(p for p in range(1, parts + 1) if recall[p - 1] >= target)
     return Router(weight, bias, probes, float(recall[probes - 1]))
 
 
@@ -164,7 +169,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, target: float = TAR
 
     A row is no neighbour of its own id; fewer candidates give fewer ranks. Vectors that are null, zero, hold null or non-finite
     components, have a null id or another length than most, take no part, as rows or as queries. Equal vectors are one class of the index, which keeps
-    the k + 1 smallest ids: no more of them can be among the nearest. A repeated id counts once. An empty table gives no rows.
+    the k + 1 smallest ids: no more of them can be among the nearest. A repeated id counts once. Other columns are not read, whatever their names.
+    An empty table gives no rows.
     """
     good = usable(rows, id_col, vec_col).where("ok").select("id", "vec")
     salts = max(1, good.count() // 10_000)
@@ -174,13 +180,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, target: float = TAR
     total = classes.count()
     if total == 0:
         return rows.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    router = fit_router(sampled(classes, "vec", SAMPLE, seed), total, k, target, seed)
+    router = fit_router(sampled(classes, "vec", SAMPLE, seed), k, target, seed)
     indexed = cut(_routed(classes, router, 1))
     asked = usable(queries, id_col, vec_col).where("ok").dropDuplicates(["id"]).select("id", F.array("id").alias("ids"), "vec").where(F.size("vec") == len(router.weight))
     asked = cut(_routed(asked, router, router.probes))
     blocks = indexed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     groups = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("groups"))
-    sizes = F.broadcast(blocks.join(groups, "part"))  # one row per part, 256 at most
+    sizes = F.broadcast(blocks.join(groups, "part"))  # one row per part, PARTS at most
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = asked.join(sizes, "part").select("part", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), "id", "vec")
     right = indexed.join(sizes, "part").select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), every("groups").alias("group"), "ids", "vec")

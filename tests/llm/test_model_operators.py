@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from eventloom.llm import ann, embedding_dedup, licenses, quality, vectors
@@ -45,6 +46,28 @@ def test_nearest_finds_neighbours(spark):
     assert [f[1] for f in sorted(got[0])] == [140, 141, 142, 143, 144]
 
 
+@pytest.mark.parametrize("kind, most", [("isotropic", 0.75), ("clustered", 0.2)])
+def test_routing_finds_nine_of_ten_and_leaves_out_the_rest(kind, most):
+    """Recall of the 5 nearest against brute force, and the share of all rows that queries look at."""
+    if kind == "isotropic":
+        x = np.array([r["embedding"] for r in pq.read_table(f"{DATA}/sf0.1/embeddings.parquet").to_pylist()], dtype=float)
+    else:
+        rng = np.random.default_rng(2)
+        x = rng.standard_normal((200, 64))[rng.integers(0, 200, 6000)] + 0.3 * rng.standard_normal((6000, 64))
+    x = vectors.unit(x)
+    router = ann.fit_router(x, 5)
+    order = router.ranked(x)
+    home, asked = order[:, 0], np.arange(0, len(x), 10)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-near, axis=1)[:, :5]
+    looked = order[asked, : router.probes]
+    recall = (home[best][:, :, None] == looked[:, None, :]).any(axis=2).mean()
+    scanned = np.bincount(home, minlength=len(router.bias))[looked].sum(axis=1).mean() / len(x)
+    assert recall >= 0.9 and scanned < most, (recall, scanned)
+    assert ann.fit_router(x, 5, target=1.0).probes == len(router.bias)
+
+
 def test_nearest_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, few.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
