@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results, on whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
