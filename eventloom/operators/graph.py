@@ -64,7 +64,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, id_col: str = "seq_id", m
     """(source, node, dist): lengths of all shortest directed paths, 0 to itself included; most: no longer ones."""
     hops = cut(edges.select("u", "v").distinct())
     front = nodes.select(F.col(id_col).alias("source"), F.col(id_col).alias("node"))
-    found, step = cut(front.withColumn("dist", F.lit(0))), 0
+    found, step = cut(front.withColumn("dist", F.lit(0))), 0  # the union of all fronts: each is stored once
     front = found.select("source", "node")
     while most is None or step < most:
         step += 1
@@ -72,7 +72,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, id_col: str = "seq_id", m
         front = cut(reached.join(found.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
             break
-        found = cut(found.union(front.withColumn("dist", F.lit(step))))
+        found = found.union(front.withColumn("dist", F.lit(step)))
     return found
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.similarity import dot
+from eventloom.operators.pairs import block
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -60,11 +62,23 @@ def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return stats.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
-def novelty(generated: DataFrame, train: DataFrame, tiles: int = 8) -> DataFrame:
-    """(id, novelty): 1 minus the highest inner product of each generated vector (id, vec) with any train vector; train vectors are dealt over tiles, whose maxima are combined."""
-    g = generated.select("id", F.col("vec").alias("gv"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    t = train.select(F.col("vec").alias("tv"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"))
-    return g.join(t, "tile").groupBy("id").agg((1 - F.max(dot("gv", "tv"))).alias("novelty"))
+def novelty(generated: DataFrame, train: DataFrame, tile: int = 2048) -> DataFrame:
+    """(id, novelty): 1 minus the highest inner product of each generated vector (id, vec) with any train vector.
+
+    Both sides are dealt over tiles of about `tile` rows, as many as they need; every two of them meet in one matrix product, whose maxima are combined.
+    """
+    many = [max(1, -(-frame.count() // tile)) for frame in (generated, train)]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    g = generated.select("id", "vec", own(many[0]).alias("a"), every(many[1]).alias("b"))
+    t = train.select(F.col("id").alias("id"), F.col("vec").alias("vec"), every(many[0]).alias("a"), own(many[1]).alias("b"))
+
+    def nearest(x: pa.Table, y: pa.Table) -> pa.Table:
+        most = (block(x["vec"]) @ block(y["vec"]).T).max(axis=1) if len(x) and len(y) else np.zeros(0)
+        return pa.table([x["id"] if len(most) else x["id"].slice(0, 0), pa.array(most)], names=["id", "most"])
+
+    found = g.groupBy("a", "b").cogroup(t.groupBy("a", "b")).applyInArrow(nearest, f"id {generated.schema['id'].dataType.simpleString()}, most double")
+    return found.groupBy("id").agg((1 - F.max("most")).alias("novelty"))
 
 
 def early_stopping(log: DataFrame, order: str, value: str, patience: int) -> DataFrame:
@@ -79,14 +93,15 @@ def early_stopping(log: DataFrame, order: str, value: str, patience: int) -> Dat
 
 
 def friedman(scores: DataFrame, block: str, group: str, value: str) -> DataFrame:
-    """One row: the Friedman statistic with tie correction, over blocks that hold every group."""
+    """One row: the Friedman statistic with tie correction, over blocks that hold every group; null for a single group, or if all are tied."""
     ranked = scores.withColumn("_min", F.rank().over(Window.partitionBy(block).orderBy(value))).withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(block, value)))
     ranked = ranked.withColumn("r", F.col("_min") + (F.col("_same") - 1) / 2.0)
     sums = ranked.groupBy(group).agg(F.sum("r").alias("R")).agg(F.sum(F.col("R") * F.col("R")).alias("ss"), F.count(F.lit(1)).alias("k"))
     ties = ranked.agg(F.sum(F.col("_same") * F.col("_same") - 1).alias("ties"), F.countDistinct(block).alias("n"))
     one = sums.crossJoin(ties)  # single rows
     k, n = F.col("k"), F.col("n")
-    return one.select(k, n, ((12.0 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * k * (k * k - 1.0)))).alias("statistic"))
+    even = 1 - F.try_divide(F.col("ties").cast("double"), n * k * (k * k - 1.0))
+    return one.select(k, n, F.try_divide(F.try_divide(F.lit(12.0), n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1), even).alias("statistic"))
 
 
 def wilcoxon(scores: DataFrame, block: str, group: str, value: str) -> DataFrame:

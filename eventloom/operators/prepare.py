@@ -29,8 +29,11 @@ def valid_dates(rows: DataFrame, when: str) -> DataFrame:
 
 
 def published_at(text: str, fallback: Column) -> Column:
-    """A publication date, or the fallback where it does not parse."""
-    return F.coalesce(F.try_to_timestamp(text), fallback)
+    """A publication date as ISO 8601 or as news feeds write it (Tue, 02 Jan 2024 08:00:00 GMT or +0200), or the fallback where it does not parse."""
+    # The day's name is left out: it says nothing that the date does not. Names of zones are fixed values of the feed format.
+    feed = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    feed = F.regexp_replace(feed, r"\s+(?:GMT|UTC?|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(feed, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(feed, F.lit("d MMM yyyy HH:mm:ss")), fallback)
 
 
 def geo_columns(where: str) -> tuple[Column, Column, Column]:

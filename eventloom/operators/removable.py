@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.components import components
-from eventloom.operators.graph import top_edges
 from eventloom.runtime import cut
 
 
 def removable_edges(nodes: DataFrame, edges: DataFrame, k: int, attribute: str = "weight") -> DataFrame:
-    """Up to k of the best edges (by attribute, ties by u, v) whose joint removal leaves as many components as before; none into a node that is already a removed edge's source.
+    """The k best edges (by attribute, ties by u, v; all there are, if fewer) whose joint removal leaves as many components as before; none into a node that is already a removed edge's source.
 
     A spanning forest of the worst edges keeps every component together; edges outside it may all go at once. It grows in rounds,
     each component taking its worst edge to another one, so the work is joins and the number of rounds is logarithmic.
@@ -33,8 +32,18 @@ def removable_edges(nodes: DataFrame, edges: DataFrame, k: int, attribute: str =
         label = cut(label.join(joined.withColumnRenamed("seq_id", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("part")))
         left = ends.select("u", "v", attribute)
     free = edges if forest is None else edges.join(forest, ["u", "v"], "left_anti")
-    # Of the best free edges, those go first that no better one's source blocks: a target may not be the source of an edge ranked before it.
-    ranked = cut(top_edges(free, 4 * k, attribute).withColumn("place", F.row_number().over(Window.orderBy(F.desc(attribute), "u", "v"))))
-    sources = ranked.groupBy(F.col("u").alias("v")).agg(F.min("place").alias("first"))
-    kept = ranked.join(sources, "v", "left").where("first is null or first >= place")
-    return kept.orderBy("place").limit(k).select(*edges.columns)
+    # Taken best first, an edge goes unless its target is the source of one that went before it. Edges that no open or gone edge before them blocks are
+    # settled together, then those that these block; each round settles the best open edge at least, and many more.
+    open_ = cut(free.withColumn("place", F.struct((-F.col(attribute)).alias("a"), "u", "v")))
+    gone = None
+    while True:
+        sources = open_.groupBy(F.col("u").alias("v")).agg(F.min("place").alias("first"))
+        went = open_.join(sources, "v", "left").where("first is null or first >= place").drop("first").select(*open_.columns)
+        gone = cut(went if gone is None else gone.union(went))
+        blockers = gone.groupBy(F.col("u").alias("v")).agg(F.min("place").alias("first"))
+        rest = open_.join(gone.select("u", "v"), ["u", "v"], "left_anti").join(blockers, "v", "left").where("first is null or first >= place")
+        open_ = cut(rest.select(*open_.columns))
+        best = gone.orderBy("place").limit(k)
+        next_ = open_.agg(F.min("place").alias("p")).first()["p"]
+        if next_ is None or best.where(F.col("place") < F.struct(F.lit(next_["a"]).alias("a"), F.lit(next_["u"]).alias("u"), F.lit(next_["v"]).alias("v"))).count() >= k:
+            return best.select(*edges.columns)

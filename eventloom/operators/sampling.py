@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.rand import race, u01
 from eventloom.functions.similarity import dot, whole_days
 from eventloom.runtime import cut
 
+# Label files carry these strings.
 LABELS = (
     "easy true edge (above 75th percentile similarity)",
     "medium true edge (between 50th and 75th percentile similarity)",
@@ -103,9 +106,60 @@ def weight_bucket(weight: Column, low: Column, high: Column) -> Column:
     return (weight >= low) & (weight < high)
 
 
-def non_edges(nodes: DataFrame, edges: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(u, v): pairs without an edge in either direction, from `draws` uniform draws of two nodes (numbered from 0)."""
+def non_edges(nodes: DataFrame, edges: DataFrame, wanted: int, seed: int) -> DataFrame:
+    """(u, v): `wanted` different pairs without an edge in either direction, or all if there are fewer: the first of uniform draws of two nodes (numbered from 0).
+
+    Twice as many are drawn again, until there are enough.
+    """
     n = nodes.count()
-    drawn = nodes.sparkSession.range(draws).select(F.floor(u01(seed, "id", F.lit("u")) * n).cast("long").alias("u"), F.floor(u01(seed, "id", F.lit("v")) * n).cast("long").alias("v"))
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    return drawn.where("u <> v").distinct().join(both, ["u", "v"], "left_anti")
+    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
+    wanted, draws = min(wanted, n * (n - 1) - both.count()), 2 * max(1, wanted)
+    while True:
+        drawn = nodes.sparkSession.range(draws).select("id", F.floor(u01(seed, "id", F.lit("u")) * n).cast("long").alias("u"), F.floor(u01(seed, "id", F.lit("v")) * n).cast("long").alias("v"))
+        found = cut(drawn.where("u <> v").groupBy("u", "v").agg(F.min("id").alias("id")).join(both, ["u", "v"], "left_anti").orderBy("id").limit(wanted))
+        if found.count() >= wanted:
+            return found.select("u", "v")
+        draws *= 2
+
+
+#: Hashed draws of a node before the nodes that are left to draw from are counted.
+DRAWS = 16
+
+
+def non_neighbours(prompts: DataFrame, keys: list[str], edges: DataFrame, n: int, draw: Callable[[Column], Column]) -> DataFrame:
+    """keys + rejected: for each prompt a uniform draw among the n nodes (numbered from 0) that are neither its `node` nor after an edge from there; a prompt without such a node is left out.
+
+    prompts: keys + node; draw(k): the k-th number in [0, 1) of a prompt. The first of DRAWS draws that hits counts. For those that all miss, which
+    is likely only where most nodes are neighbours, draw DRAWS picks a place among the nodes that are left: the r-th of them is r plus the neighbours before it.
+    """
+    taken = edges.select(F.col("u").alias("node"), F.col("v").alias("w")).distinct()
+    drawn = prompts.select(*keys, "node", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("k"))
+    drawn = drawn.withColumn("w", F.floor(draw(F.col("k")) * n).cast("long")).where("w <> node")
+    hit = cut(drawn.join(taken, ["node", "w"], "left_anti").groupBy(*keys).agg(F.min_by("w", "k").alias("rejected")))
+    left = cut(prompts.join(hit, keys, "left_anti"))
+    if left.isEmpty():
+        return hit
+    barred = left.select("node").distinct().withColumn("w", F.col("node")).union(taken.join(left.select("node"), "node", "left_semi")).where(F.col("w").between(0, n - 1)).distinct()
+    barred = cut(barred.withColumn("free", F.col("w") - F.row_number().over(Window.partitionBy("node").orderBy("w")) + 1))  # free nodes before it
+    counts = barred.groupBy("node").agg((n - F.count(F.lit(1))).alias("left")).where("left > 0")
+    placed = left.join(counts, "node").withColumn("r", F.floor(draw(F.lit(DRAWS)) * F.col("left")).cast("long"))
+    before = placed.join(barred, "node").groupBy(*keys, "r").agg(F.count(F.when(F.col("free") <= F.col("r"), 1)).alias("before"))
+    return hit.unionByName(before.select(*keys, (F.col("r") + F.col("before")).alias("rejected")))
+
+
+def training_edges(edges: DataFrame, share: float | int, seed: int) -> DataFrame:
+    """A sample of similarity edges for training, bridges left out: a share in (0, 1] of them, or a number, in proportion to nothing but a hash."""
+    found = cut(edges.where("edge_type <> 'component_bridge'"))
+    return found.orderBy(u01(seed, F.lit("train"), "u", "v"), "u", "v").limit(quota(found.count(), share))
+
+
+def bucket_samples(edges: DataFrame, buckets: dict[str, tuple[float, float]], each: int, seed: int) -> DataFrame:
+    """edges + bucket: from each bucket of weights (low <= weight < high) `each` edges without replacement, with chances in proportion to their weights.
+
+    Buckets are few, and each sample is a top-n of its own: no bucket is ranked in one task.
+    """
+    keyed, out = cut(edges.withColumn("key", race(u01(seed, "u", "v"), F.col("weight")))), None
+    for name, (low, high) in buckets.items():
+        one = keyed.where(weight_bucket(F.col("weight"), F.lit(float(low)), F.lit(float(high)))).orderBy("key", "u", "v").limit(each).drop("key").withColumn("bucket", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out

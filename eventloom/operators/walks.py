@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +44,62 @@ def context_of(walk: str, inverted: bool) -> Column:
 
 
 def support_anchors(nodes: DataFrame, edges: DataFrame, n: int, seed: int = 2026) -> DataFrame:
-    """(anchor, support, place): for each node n others that are not later than it (itself may be one), weighted by degree and without replacement.
+    """(anchor, support, place): each node itself (place 0), then n nodes that are not later than it (itself may be one again), all if there are fewer, drawn for it alone, in proportion to their degrees and without replacement; nodes without edges follow, all alike, where those with edges do not suffice.
 
-    One race for all: an anchor takes the n smallest keys among the nodes up to its time. Range partitions of time hand on their n best, as
-    few rows as partitions; within a partition one sorted pass does the rest.
+    A draw is a place in the degrees' sum up to the anchor's time, and the node that lies there; drawing again on a repeat is drawing without
+    replacement. Sums go in the order of time over range partitions. Anchors that lack some draw again, four times as often: the work follows
+    the draws, not the pairs of nodes.
     """
-    drawn = nodes.join(degrees(edges).select(F.col("node").alias("seq_id"), "degree"), "seq_id", "left")
-    key = race(u01(seed, "seq_id"), F.coalesce("degree", F.lit(0)) + 1e-6)
-    parts = cut(drawn.select("seq_id", "when", key.alias("key")).repartitionByRange("when").withColumn("part", F.spark_partition_id()))
-    top = parts.groupBy("part").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "seq_id"))), 1, n).alias("top"))
-    earlier = F.flatten(F.collect_list("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = top.select("part", F.slice(F.array_sort(earlier), 1, n).alias("before"))
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        best = [(x["key"], x["seq_id"]) for x in frame["before"].iloc[0]]
-        out = []
-        for _, same in frame.sort_values("when", kind="stable").groupby("when", sort=True):
-            best = sorted([*best, *zip(same["key"], same["seq_id"], strict=True)])[:n]
-            out += [(a, s, k) for a in same["seq_id"] for k, (_, s) in enumerate(best)]
-        return pd.DataFrame(out, columns=["anchor", "support", "place"])
-
-    return parts.join(F.broadcast(before), "part").groupBy("part").applyInPandas(pick, "anchor long, support long, place int")
+    degree = F.coalesce("degree", F.lit(0)).cast("long")
+    weighed = nodes.select("seq_id", F.col("when").alias("t")).join(degrees(edges).select(F.col("node").alias("seq_id"), "degree"), "seq_id", "left")
+    weighed = weighed.select("seq_id", "t", degree.alias("w"), (degree > 0).cast("long").alias("linked"), (degree == 0).cast("long").alias("alone"))
+    dealt = cut(weighed.repartitionByRange("t", "seq_id").withColumn("part", F.spark_partition_id()))
+    sums = ("w", "linked", "alone")
+    totals = dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = totals.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in sums))
+    inside = Window.partitionBy("part").orderBy("t", "seq_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut(dealt.join(totals, "part").select("seq_id", "t", "w", "alone", *((F.col(f"{c}0") + F.sum(c).over(inside)).alias(f"{c}_upto") for c in sums)))
+    # All nodes of a time count for each of them.
+    times = placed.groupBy("t").agg(*(F.max(f"{c}_upto").alias(f"{c}_all") for c in sums))
+    anchors = placed.select(F.col("seq_id").alias("anchor"), "t").join(times, "t").withColumn("first", F.least("linked_all", F.lit(n)))
+    anchors = cut(anchors.withColumn("second", F.least(F.lit(n) - F.col("first"), F.col("alone_all"))))
+    size = anchors.count()
+    out = nodes.select(F.col("seq_id").alias("anchor"), F.col("seq_id").alias("support"), F.lit(0).alias("place"))
+    for weight, wanted, after, tag in (("w", "first", F.lit(0), "linked"), ("alone", "second", F.col("first"), "alone")):
+        from_ = placed.where(F.col(weight) > 0).select("seq_id", (F.col(f"{weight}_upto") - F.col(weight)).alias("low"), F.col(f"{weight}_upto").alias("upto"))
+        lacking = anchors.where(F.col(wanted) > 0).select("anchor", F.col(wanted).alias("wanted"), F.col(f"{weight}_all").alias("whole"), after.alias("after"))
+        out = out.union(_supports(from_, lacking, size, 4 * n, u01(seed, F.lit(tag), "anchor", "k")))
+    return out
+
+
+def _supports(places: DataFrame, anchors: DataFrame, size: int, draws: int, draw: Column) -> DataFrame:
+    """(anchor, support, place): for each of the anchors (anchor, wanted, whole, after) the first `wanted` different nodes that draws below `whole` hit; places: (seq_id, low, upto)."""
+    total = places.agg(F.max("upto")).first()[0] or 1
+    # Stretches of the sum meet equal buckets: together no more rows than nodes and buckets.
+    bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(total)) * size)
+    stretches = cut(places.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("upto")))))
+    lacking, out = cut(anchors), None
+    while True:
+        drawn = lacking.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("x", F.least(F.floor(draw * F.col("whole")), F.col("whole") - 1))
+        found = drawn.withColumn("bucket", bucket("x")).join(stretches, "bucket").where("low <= x and x < upto").groupBy("anchor", "wanted", "after", F.col("seq_id").alias("support")).agg(F.min("k").alias("k"))
+        found = cut(found.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy("k"))).where("place <= wanted"))
+        full = cut(found.groupBy("anchor", "wanted").agg(F.count(F.lit(1)).alias("had")).where("had >= wanted").select("anchor"))
+        done = found.join(full, "anchor", "left_semi").select("anchor", "support", (F.col("place") + F.col("after")).cast("int").alias("place"))
+        out = done if out is None else out.union(done)
+        lacking, draws = cut(lacking.join(full, "anchor", "left_anti")), 4 * draws
+        if lacking.isEmpty():
+            return out
+
+
+def neighbourhood_walks(nodes: DataFrame, edges: DataFrame, n: int, walks: int, length: int, bias: str = "none", seed: int = 2026, inverted: bool = False) -> DataFrame:
+    """(anchor, support, place, walk_no, walk): the walks from each node and from its n support anchors, each without the node that it starts from; walks that are empty then stay.
+
+    Walks are drawn once per node and shared by all that it supports.
+    """
+    found = random_walks(nodes.select("seq_id"), edges, walks, length, bias, seed, inverted)
+    found = found.select(F.col("anchor").alias("support"), "walk_no", context_of("walk", inverted).alias("walk"))
+    return support_anchors(nodes, edges, n, seed).join(found, "support").select("anchor", "support", "place", "walk_no", "walk")
 
 
 def prefix_length(size: Column, draw: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.similarity import CONVERSIONS, FUSIONS
 from eventloom.operators.components import components
 from eventloom.operators.pairs import event_pairs
+from eventloom.operators.prepare import renumber
 from eventloom.operators.thresholds import METHODS, thresholds
 from eventloom.runtime import cut
 
@@ -82,7 +83,7 @@ def bridge_edges(nodes: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFr
     """
     member = cut(components(nodes, edges))
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rank = sizes.select("component", F.row_number().over(Window.orderBy(F.desc("size"), "component")).alias("rank"))
+    rank = renumber(sizes.select("component", F.struct((-F.col("size")).alias("size"), "component").alias("place")), "place", "rank")
     ranked = cut(member.join(rank, "component").select("seq_id", "rank"))
     across = pairs.select("u", "v", "weight_all", "what_sim", "where_sim", "when_sim").join(ranked.select(F.col("seq_id").alias("u"), F.col("rank").alias("ru")), "u").join(ranked.select(F.col("seq_id").alias("v"), F.col("rank").alias("rv")), "v")
     # A pair against the allowed direction is there too, with similarity 0.

@@ -179,7 +179,7 @@ def degree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {edges_sql()}, m AS (SELECT u, v, count(*) AS m FROM (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY u, v),
+    f"""WITH {edges_sql()}, m AS MATERIALIZED (SELECT u, v, count(*) AS m FROM (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY u, v),
     tri AS (SELECT a.u, sum(a.m * b.m * c.m) AS t FROM m a JOIN m b ON b.u = a.u AND a.v < b.v JOIN m c ON c.u = a.v AND c.v = b.v GROUP BY a.u),
     deg AS (SELECT u, sum(m) AS d, sum(CASE WHEN m = 2 THEN 1 ELSE 0 END) AS r FROM m GROUP BY u)
     SELECT n.seq_id AS node, round(CASE WHEN coalesce(2 * (d * (d - 1) - 2 * r), 0) > 0 THEN 2 * coalesce(tri.t, 0) / (2 * (d * (d - 1) - 2 * r)) ELSE 0 END, 6) AS clustering
@@ -323,8 +323,8 @@ def weighted_edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {edges_sql()}, n AS (SELECT count(*) AS n FROM ev_nodes), drawn AS (SELECT DISTINCT CAST(floor({u01_sql(4, "id", "'u'")} * n) AS BIGINT) AS u, CAST(floor({u01_sql(4, "id", "'v'")} * n) AS BIGINT) AS v FROM range(200) r(id), n)
-    SELECT u, v FROM drawn d WHERE u <> v AND NOT EXISTS (SELECT 1 FROM edges e WHERE (e.u = d.u AND e.v = d.v) OR (e.u = d.v AND e.v = d.u))"""
+    f"""WITH {edges_sql()}, n AS (SELECT count(*) AS n FROM ev_nodes), drawn AS (SELECT id, CAST(floor({u01_sql(4, "id", "'u'")} * n) AS BIGINT) AS u, CAST(floor({u01_sql(4, "id", "'v'")} * n) AS BIGINT) AS v FROM range(2000) r(id), n)
+    SELECT u, v FROM (SELECT u, v, min(id) AS id FROM drawn WHERE u <> v GROUP BY u, v) d WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.u = d.u AND e.v = d.v) OR (e.u = d.v AND e.v = d.u)) ORDER BY id LIMIT 200"""
 )
 def non_edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.non_edges(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir), 200, 4)
@@ -372,15 +372,37 @@ def generation_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("anchor", F.col("walk_no").cast("long").alias("walk_no"), F.array_join(F.col("walk").cast("array<string>"), ",").alias("walk"))
 
 
-@query(
-    f"""WITH {edges_sql()}, {_DEGREES}, keyed AS (SELECT seq_id, t, {race_sql(u01_sql(2026, "seq_id"), "coalesce(degree, 0) + 1e-6")} AS key FROM ev_nodes LEFT JOIN deg ON node = seq_id)
-    SELECT a.seq_id AS anchor, b.seq_id AS support, CAST(row_number() OVER (PARTITION BY a.seq_id ORDER BY b.key, b.seq_id) - 1 AS INTEGER) AS place FROM keyed a JOIN keyed b ON b.t <= a.t
-    QUALIFY row_number() OVER (PARTITION BY a.seq_id ORDER BY b.key, b.seq_id) <= 3"""
-)
+def _supports_sql() -> str:
+    """Draws per anchor by places in summed weights, first among nodes with edges, then among those without; far more draws than three different nodes need."""
+    out = f""", {_DEGREES}, weighed AS (SELECT seq_id, t, CAST(coalesce(degree, 0) AS BIGINT) AS w FROM ev_nodes LEFT JOIN deg ON node = seq_id),
+    placed AS MATERIALIZED (SELECT seq_id, t, w, CAST(w = 0 AS BIGINT) AS lone, CAST(sum(w) OVER s AS BIGINT) AS w_upto, CAST(sum(CAST(w > 0 AS BIGINT)) OVER s AS BIGINT) AS linked_upto, CAST(sum(CAST(w = 0 AS BIGINT)) OVER s AS BIGINT) AS lone_upto
+      FROM weighed WINDOW s AS (ORDER BY t, seq_id ROWS UNBOUNDED PRECEDING)),
+    times AS MATERIALIZED (SELECT seq_id AS anchor, max(w_upto) OVER (PARTITION BY t) AS w_all, max(lone_upto) OVER (PARTITION BY t) AS lone_all, least(max(linked_upto) OVER (PARTITION BY t), 3) AS first_n FROM placed)"""
+    for name, weight, wanted, after in (("linked", "w", "first_n", "0"), ("alone", "lone", "least(3 - first_n, lone_all)", "first_n")):
+        out += f""", drawn_{name} AS MATERIALIZED (SELECT anchor, {wanted} AS wanted, {after} AS after, k, least(CAST(floor({u01_sql(2026, f"'{name}'", "anchor", "k")} * {weight}_all) AS BIGINT), {weight}_all - 1) AS x FROM times, range(6000) r(k) WHERE {wanted} > 0),
+        hit_{name} AS (SELECT d.anchor, d.wanted, d.after, p.seq_id AS support, min(k) AS k FROM drawn_{name} d ASOF JOIN (SELECT seq_id, {weight}_upto - {weight} AS low FROM placed WHERE {weight} > 0) p ON d.x >= p.low GROUP BY ALL),
+        got_{name} AS (SELECT anchor, support, CAST(after + row_number() OVER (PARTITION BY anchor ORDER BY k) AS INTEGER) AS place FROM hit_{name} QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY k) <= wanted)"""
+    return out + ", supports AS MATERIALIZED (SELECT * FROM got_linked UNION ALL SELECT * FROM got_alone UNION ALL SELECT seq_id, seq_id, 0 FROM ev_nodes)"
+
+
+_SUPPORTS = _supports_sql()
+
+
+@query(f"WITH {edges_sql()}{_SUPPORTS} SELECT anchor, support, place FROM supports")
 def support_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.support_anchors(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir), 3)
 
 
+@query(
+    f"""WITH {edges_sql()}{_SUPPORTS}{_walk_sql("1.0", 2026, 3, _REVERSED).replace(f", {_DEGREES}", "", 1)}
+    SELECT s.anchor, s.support, s.place, CAST(walk_no AS BIGINT) AS walk_no, array_to_string(list_reverse(walk[2:]), ',') AS context FROM supports s JOIN w3 ON w3.anchor = s.support"""
+)
+def neighbourhood_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks into the past from every node and its support anchors, without where they start."""
+    found = walks.neighbourhood_walks(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir), 3, 2, 4, inverted=True)
+    return found.select("anchor", "support", "place", F.col("walk_no").cast("long").alias("walk_no"), F.array_join(F.col("walk").cast("array<string>"), ",").alias("context"))
+
+
 @query(
     f"""WITH d AS (SELECT event_id, 2 + event_id % 7 AS size, {u01_sql(5, "event_id")} AS draw FROM events)
     SELECT event_id, CAST(CASE WHEN size <= 2 THEN 1 ELSE 1 + floor(draw * (size - 1)) END AS INTEGER) AS uniform,
@@ -395,15 +417,17 @@ def prefix_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {edges_sql()}, last AS (SELECT DISTINCT u FROM edges),
     chosen AS (SELECT u, v FROM edges QUALIFY row_number() OVER (PARTITION BY u ORDER BY {u01_sql(6, "u", "v")}, v) = 1),
     drawn AS (SELECT u, CAST(floor({u01_sql(9, "u", "k")} * (SELECT count(*) FROM ev_nodes)) AS BIGINT) AS r, k FROM last, range(16) q(k)),
-    rejected AS (SELECT u, r FROM drawn d WHERE r <> u AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = d.u AND e.v = d.r) QUALIFY row_number() OVER (PARTITION BY u ORDER BY k) = 1)
+    early AS (SELECT u, r FROM drawn d WHERE r <> u AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = d.u AND e.v = d.r) QUALIFY row_number() OVER (PARTITION BY u ORDER BY k) = 1),
+    free AS (SELECT l.u, n.seq_id AS r, row_number() OVER (PARTITION BY l.u ORDER BY n.seq_id) - 1 AS place, count(*) OVER (PARTITION BY l.u) AS n FROM last l, ev_nodes n
+      WHERE l.u NOT IN (SELECT u FROM early) AND n.seq_id <> l.u AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = l.u AND e.v = n.seq_id)),
+    rejected AS (SELECT u, r FROM early UNION ALL SELECT u, r FROM free WHERE place = CAST(floor({u01_sql(9, "u", "16")} * n) AS BIGINT))
     SELECT c.u AS prompt, c.v AS chosen, x.r AS rejected FROM chosen c JOIN rejected x USING (u)"""
 )
 def preference_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = ev_nodes(spark, sf_dir), news_edges(spark, sf_dir)
     chosen = edges.groupBy("u").agg(F.min_by("v", F.struct(u01(6, "u", "v").alias("k"), "v")).alias("chosen"))
-    drawn = chosen.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("k")).withColumn("v", F.floor(u01(9, "u", "k") * nodes.count()).cast("long"))
-    free = drawn.where("u <> v").join(edges.select("u", "v"), ["u", "v"], "left_anti")
-    return chosen.join(free.groupBy("u").agg(F.min_by("v", "k").alias("rejected")), "u").select(F.col("u").alias("prompt"), "chosen", "rejected")
+    rejected = sampling.non_neighbours(chosen.select("u", F.col("u").alias("node")), ["u"], edges, nodes.count(), lambda k: u01(9, "u", k))
+    return chosen.join(rejected, "u").select(F.col("u").alias("prompt"), "chosen", "rejected")
 
 
 @query(f"WITH {NODES_SQL} SELECT seq_id, CAST(row_number() OVER (PARTITION BY how ORDER BY {u01_sql(12, 'seq_id')}, seq_id) <= floor(0.2 * count(*) OVER (PARTITION BY how)) AS BOOLEAN) AS held_out FROM ev_nodes")
