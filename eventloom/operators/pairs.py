@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from eventloom.functions.similarity import EARTH_KM
 from eventloom.runtime import cut
 
-#: Nodes in a block, about: two blocks give a million pairs at most, which is what a task holds at once.
-TILE = 1024
+#: Nodes in a block, about: two blocks give 65,536 pairs, so that even a few thousand nodes keep many tasks busy.
+TILE = 256
 
 
 def block(column: pa.ChunkedArray) -> np.ndarray:
