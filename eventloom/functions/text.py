@@ -31,10 +31,15 @@ def tagged_event(event: Column | None = None) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """A string as Python's json.dumps writes it for text without characters beyond ASCII; null is null."""
+    """A string as Python's json.dumps writes it: control characters and those beyond ASCII as \\uXXXX, in pairs beyond U+FFFF; null is null."""
     text = value.cast("string")
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+    high = lambda n: n - 0x10000
+    coded = lambda n: F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(F.shiftright(high(n), 10) + 0xD800), unit(high(n).bitwiseAND(0x3FF) + 0xDC00)))
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x20-\x7f]"), coded(F.ascii(c))).otherwise(c))
+    text = F.when(text.rlike(r"[^\x20-\x7f]"), F.array_join(letters, "")).otherwise(text)
     return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
 
 

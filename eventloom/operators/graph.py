@@ -94,6 +94,31 @@ def train_graph(nodes: DataFrame, edges: DataFrame, targets: DataFrame, id_col:
     return left, kept.select(*edges.columns)
 
 
+def undirected_density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: density of the graph without directions, parallel edges and loops counted out."""
+    pairs = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct().agg(F.count(F.lit(1)).alias("m"))
+    return nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(pairs).select(F.try_divide(2.0 * F.col("m"), F.col("n") * (F.col("n") - 1)).alias("density"))  # single rows
+
+
+def diameter(nodes: DataFrame, edges: DataFrame, id_col: str = "seq_id") -> DataFrame:
+    """One row: the longest shortest path of the graph without directions; null if some nodes do not reach each other."""
+    both = edges.select("u", "v").union(edges.select("v", "u"))
+    paths = shortest_paths(nodes, both, id_col)
+    whole = nodes.agg(F.count(F.lit(1)).alias("n")).crossJoin(paths.agg(F.max("dist").alias("longest"), F.count(F.lit(1)).alias("reached")))  # single rows
+    return whole.select(F.when(F.col("reached") == F.col("n") * F.col("n"), F.col("longest")).alias("diameter"), (F.col("reached") / (F.col("n") * F.col("n"))).alias("reached_share"))
+
+
+def induced(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """groups (source, node) -> (source, u, v): the edges between nodes of the same group, as of ego graphs."""
+    return groups.select("source", F.col("node").alias("u")).join(edges.select("u", "v"), "u").join(groups.select("source", F.col("node").alias("v")), ["source", "v"]).select("source", "u", "v")
+
+
+def latest_edges(nodes: DataFrame, edges: DataFrame, k: int, id_col: str = "seq_id") -> DataFrame:
+    """The k edges of the latest target nodes, ties by u, v."""
+    times = nodes.select(F.col(id_col).alias("v"), F.col("when").alias("_when"))
+    return edges.join(times, "v").orderBy(F.desc("_when"), "u", "v").limit(k).select(*edges.columns)
+
+
 def top_edges(edges: DataFrame, k: int, attribute: str = "weight") -> DataFrame:
     """The k edges of the highest attribute, ties by u then v."""
     if attribute not in ("weight", "what_sim", "where_sim", "when_sim"):

@@ -153,6 +153,12 @@ def training_edges(edges: DataFrame, share: float | int, seed: int) -> DataFrame
     return found.orderBy(u01(seed, F.lit("train"), "u", "v"), "u", "v").limit(quota(found.count(), share))
 
 
+def labelled_training(nodes: DataFrame, edges: DataFrame, share: float | int, seed: int, negatives: bool = True) -> DataFrame:
+    """(u, v, label): sampled similarity edges, and as many pairs without an edge."""
+    true = cut(training_edges(edges, share, seed).select("u", "v", F.lit(True).alias("label")))
+    return true.union(non_edges(nodes, edges, true.count(), seed).select("u", "v", F.lit(False))) if negatives else true
+
+
 def bucket_samples(edges: DataFrame, buckets: dict[str, tuple[float, float]], each: int, seed: int) -> DataFrame:
     """edges + bucket: from each bucket of weights (low <= weight < high) `each` edges without replacement, with chances in proportion to their weights.
 
