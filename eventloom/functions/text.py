@@ -38,8 +38,8 @@ def json_string(value: Column) -> Column:
     coded = lambda n: F.when(n < 0x10000, unit(n)).otherwise(F.concat(unit(F.shiftright(high(n), 10) + 0xD800), unit(high(n).bitwiseAND(0x3FF) + 0xDC00)))
     for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(plain), F.lit(escaped))
-    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x20-\x7f]"), coded(F.ascii(c))).otherwise(c))
-    text = F.when(text.rlike(r"[^\x20-\x7f]"), F.array_join(letters, "")).otherwise(text)
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x20-\x7e]"), coded(F.ascii(c))).otherwise(c))
+    text = F.when(text.rlike(r"[^\x20-\x7e]"), F.array_join(letters, "")).otherwise(text)
     return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
 
 

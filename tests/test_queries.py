@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from eventloom.plans import queries as registry
-from eventloom.plans import dataset_queries, report_queries, text_queries  # noqa: F401
+from eventloom.plans import comparison_queries, dataset_queries, report_queries, text_queries  # noqa: F401
 
 from .conftest import DATA
 
