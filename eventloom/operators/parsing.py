@@ -66,7 +66,7 @@ def json_event(text: str | Column) -> Column:
     """map<string, string>: the first JSON object in a model's answer, code fences left out; values that are no strings as JSON; null where there is none."""
     text = F.regexp_extract(cleaned_answer(text), r"(?s)\{.*\}", 0)
     fields = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
-    return F.transform_values(fields, lambda k, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    return F.transform_values(fields, lambda k, v: F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
 
 
 def is_event(fields: Column) -> Column:
