@@ -163,7 +163,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """docs as the mix takes them: each document once for every whole pass, and once more cut to its first words where the last pass ends within it.
 
     Columns are those of docs, whatever their names; one named n_chars follows the text. Documents that the mix does not take (those without words,
-    null, empty or blank, among them) are left out; an empty table gives no rows. The rows are numbered once and stored, so docs may come in any order.
+    null, empty or blank, among them) are left out; an empty table gives no rows. The rows are numbered once and stored, so docs may come in any order,
+    but the shuffle draws on that number: equal rows that read back in another order give another mix, equally near its targets.
     """
     place, size, taken, turn, words = (fresh(docs.columns, c) for c in ("place", "size", "taken", "turn", "words"))
     rows = cut(docs.withColumn(place, F.monotonically_increasing_id()))
