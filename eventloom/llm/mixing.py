@@ -113,14 +113,16 @@ def schedule(plan: DataFrame) -> DataFrame:
 def blocks_of(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """docs (key, place long, size, source) with src, source_size, target and `begin`, where each document's words begin in its source's shuffled stream.
 
-    The order is that of a seeded hash of (key, place). Buckets of that order are summed first, so a source of any size is laid out by many tasks.
+    The order is that of a seeded hash of the key, so it is the same however the rows come; where keys repeat, of (key, place). Buckets of that order are summed first, so a source of any size is laid out by many tasks.
     """
-    buckets = max(1, docs.count() // BUCKET_DOCS)
+    rows, keys = docs.agg(F.count(F.lit(1)), F.countDistinct("key")).first()
+    drawn = ["key"] if rows == keys else ["key", "place"]
+    buckets = max(1, rows // BUCKET_DOCS)
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("named")  # a null source is a source too
     sources = plan.select(named, "src", "source_size", "target", "rows")
     slim = docs.select("key", "place", "size", named)
     mixed = slim.join(F.broadcast(sources.drop("rows")), "named") if sources.count() <= FEW_SOURCES else join_salted(slim, sources, "named", "rows", "place")
-    mixed = mixed.drop("named").withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "place"), 1)).withColumn("bucket", F.floor(F.col("draw") / F.lit(2.0**63) * buckets))
+    mixed = mixed.drop("named").withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *drawn), 1)).withColumn("bucket", F.floor(F.col("draw") / F.lit(2.0**63) * buckets))
     sums = mixed.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("src", "bucket", _prefix("src", "bucket", "n").alias("before"))
     inside = Window.partitionBy("src", "bucket").orderBy("draw", "key", "place").rowsBetween(Window.unboundedPreceding, 0)
@@ -164,7 +166,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     Columns are those of docs, whatever their names; one named n_chars follows the text. Documents that the mix does not take (those without words,
     null, empty or blank, among them) are left out; an empty table gives no rows. The rows are numbered once and stored, so docs may come in any order,
-    but the shuffle draws on that number: equal rows that read back in another order give another mix, equally near its targets.
+    and the mix is the same in each where ids are unique; where ids repeat, the shuffle draws on that number too, and another order gives another mix.
     """
     place, size, taken, turn, words = (fresh(docs.columns, c) for c in ("place", "size", "taken", "turn", "words"))
     rows = cut(docs.withColumn(place, F.monotonically_increasing_id()))
