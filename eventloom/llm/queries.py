@@ -16,6 +16,7 @@ from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import fit_quality, grade_documents, grades_of
 from .runtime import table
+from .secret_scan import scan_secrets
 from .sharding import assign_shards
 from .simhash import simhash_groups
 from .substring_dedup import dedup_substrings
@@ -69,6 +70,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_bpe_encode_decode, op3_byte_shards, op4_substring_dedup, op5_learned_partitions, op6_ordinal_quality, op7_license_scan,
-        op8_source_mix, op9_simhash_near_dedup, op10_embedding_near_dedup, op13_collocations,
+        op8_source_mix, op9_simhash_near_dedup, op10_embedding_near_dedup, op12_secret_scan, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
