@@ -254,7 +254,7 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     b = F.coalesce(F.floor(F.col("pos") / BLOCK), zero).alias("b")
     blocks = turns.groupBy("conv_id", b).agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id", "end", "chars")))).alias("t"))
-    blocks = cut(blocks.select("conv_id", "b", F.col("t.id").alias("ids"), F.col("t.end").alias("ends"), F.expr("t[0].end - t[0].chars").alias("before")))
+    blocks = cut(blocks.select("conv_id", "b", F.col("t.id").alias("ids"), F.col("t.end").alias("ends"), F.expr("get(t, 0).end - get(t, 0).chars").alias("before")))
     levels, ranks = _sorted(blocks)
     seqs = levels[-1].groupBy("r").agg(F.min("conv_id").alias("conv"), F.count(F.lit(1)).alias("w"))
     offsets = ranks.groupBy(_part("r").alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row a partition
@@ -314,7 +314,7 @@ def _saved(edges: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     many = edges.where("n > 1").select("left", "right", "v", "n", "conv", F.greatest("u", zero).alias("u"))
     asked = many.select("left", "v", "conv", F.explode(F.array("u", "v")).alias("p"), "u").where("p > 0")
     ends = asked.withColumn("b", F.floor((F.col("p") - 1) / BLOCK)).join(blocks.select(F.col("conv_id").alias("conv"), "b", "ends"), ["conv", "b"])
-    ends = ends.withColumn("end", F.expr(f"ends[cast(p - 1 - b * {BLOCK} as int)]")).groupBy("left", "v").agg(F.max(F.when(F.col("p") == F.col("v"), F.col("end"))).alias("to"), F.max(F.when(F.col("p") == F.col("u"), F.col("end"))).alias("frm"))
+    ends = ends.withColumn("end", F.expr(f"get(ends, cast(p - 1 - b * {BLOCK} as int))")).groupBy("left", "v").agg(F.max(F.when(F.col("p") == F.col("v"), F.col("end"))).alias("to"), F.max(F.when(F.col("p") == F.col("u"), F.col("end"))).alias("frm"))
     gained = many.join(ends, ["left", "v"], "left").withColumn("to", F.coalesce("to", zero))
     gained = cut(gained.withColumn("own", (F.col("n") - 1) * (F.col("to") - F.when(F.col("u") == F.col("v"), F.col("to")).otherwise(F.coalesce("frm", zero)))))
     totals = cut(gained.groupBy("left").agg(F.sum("own").alias("t")).withColumn("blk", F.floor(F.col("left") / size)))
@@ -342,7 +342,7 @@ def _expanded(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     alone = wide.where("n = 1").withColumn("depth", F.explode(depths)).withColumn("saved", F.lit(0).cast("long"))
     # Chars of the turns from this depth to the edge's end, for each member but one, and what is saved under the end.
     shared = wide.where("n > 1").join(blocks.select(F.col("conv_id").alias("conv"), "b", "ends", "before"), ["conv", "b"]).withColumn("depth", F.explode(depths))
-    start = F.expr(f"CASE WHEN depth <= 1 THEN 0L WHEN depth - 1 = b * {BLOCK} THEN before ELSE ends[cast(depth - 2 - b * {BLOCK} as int)] END")
+    start = F.expr(f"CASE WHEN depth <= 1 THEN 0L WHEN depth - 1 = b * {BLOCK} THEN before ELSE get(ends, cast(depth - 2 - b * {BLOCK} as int)) END")
     shared = shared.withColumn("saved", F.col("below") + (F.col("n") - 1) * (F.col("to") - start))
     columns = ["m", "u", "v", "up_m", "n", "kids", "leaves", "sha", "depth", "saved"]
     rows = alone.select(*columns).union(shared.select(*columns))
