@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .runtime import cut, remove, shared_dir
 
 #: Bytes of text that are split and counted at once; words that a slice takes over from the one before.
-SLICE, CONTEXT = 8_000_000, 3
+SLICE, CONTEXT = 4_000_000, 3
 #: Buckets that one row of packed counts covers.
 CHUNK = 8192
 _SPACE, _BREAK = 32, 0xFF  # 0xFF stands in no UTF-8 text
