@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import cut
-from .skew import fresh, join_salted
+from .skew import fresh, join_salted, number_within
 
 WEIGHTS, MOST_REPEATS = (1.0, 2.0, 3.0), 3.0
 #: Words in a block; documents in a bucket of the shuffled order; slots in a chunk of the schedule; sources that are ranked in one task.
@@ -113,19 +113,19 @@ def schedule(plan: DataFrame) -> DataFrame:
 def blocks_of(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """docs (key, place long, size, source) with src, source_size, target and `begin`, where each document's words begin in its source's shuffled stream.
 
-    The order is that of a seeded hash of the key, so it is the same however the rows come; where keys repeat, of (key, place). Buckets of that order are summed first, so a source of any size is laid out by many tasks.
+    docs also has `mark`, a hash of what else a row holds, and `number`, its number among equal rows of (key, mark). The order is that of a seeded hash of
+    (key, mark, number), so it is the same however the rows come, but for equal rows, which may swap. Buckets of that order are summed first, so a source of any size is laid out by many tasks.
     """
-    rows, keys = docs.agg(F.count(F.lit(1)), F.countDistinct("key")).first()
-    drawn = ["key"] if rows == keys else ["key", "place"]
+    rows = docs.count()
     buckets = max(1, rows // BUCKET_DOCS)
     named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("named")  # a null source is a source too
     sources = plan.select(named, "src", "source_size", "target", "rows")
-    slim = docs.select("key", "place", "size", named)
+    slim = docs.select("key", "mark", "number", "place", "size", named)
     mixed = slim.join(F.broadcast(sources.drop("rows")), "named") if sources.count() <= FEW_SOURCES else join_salted(slim, sources, "named", "rows", "place")
-    mixed = mixed.drop("named").withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *drawn), 1)).withColumn("bucket", F.floor(F.col("draw") / F.lit(2.0**63) * buckets))
+    mixed = mixed.drop("named").withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "mark", "number"), 1)).withColumn("bucket", F.floor(F.col("draw") / F.lit(2.0**63) * buckets))
     sums = mixed.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("src", "bucket", _prefix("src", "bucket", "n").alias("before"))
-    inside = Window.partitionBy("src", "bucket").orderBy("draw", "key", "place").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("src", "bucket").orderBy("draw", "key", "mark", "number").rowsBetween(Window.unboundedPreceding, 0)
     return mixed.join(sums, ["src", "bucket"]).withColumn("begin", F.col("before") + F.sum("size").over(inside) - F.col("size")).drop("before", "draw", "bucket")
 
 
@@ -136,9 +136,9 @@ def word_count(text: str) -> F.Column:
 
 
 def _mix(slim: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
-    """slim (key, place long, size, source), stored -> place, key, size, source_size, target, taken."""
+    """slim (key, place long, size, source, mark, tell: a hash of all its columns), stored -> place, key, size, source_size, target, taken."""
     plan = plan_sources(slim, weights, most)
-    laid = cut(blocks_of(slim, plan, seed))
+    laid = cut(blocks_of(number_within(slim, ["key", "mark"], ["tell", "place"]), plan, seed))
     taken = schedule(plan).groupBy("src", "block").agg(F.collect_list("words").alias("takes"))
     pieces = laid.where("size > 0").select("place", "src", "begin", "size", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK_WORDS), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK_WORDS))).alias("block"))
     low = F.greatest(F.col("begin") - F.col("block") * BLOCK_WORDS, F.lit(0))
@@ -155,9 +155,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: flo
     Sources in the order of code points, null last as a source of its own, weigh `weights`, repeating. A source's taken words are its target, rounded; no document
     is taken more than `most` times over. Documents without words (null, empty, blank) have size 0 and are never taken; long texts count whole. Repeated rows
     are documents of their own; a null id is an id like others. Other columns are not read, whatever their names. An empty table gives no rows.
-    Equal input, order and seed give equal results.
+    Equal rows and seed give equal results in whatever order the rows come, null and repeated ids included.
     """
-    slim = cut(docs.select(F.col(id_col).alias("key"), F.monotonically_increasing_id().alias("place"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source")))
+    slim = cut(docs.select(F.col(id_col).alias("key"), F.monotonically_increasing_id().alias("place"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col, source_col).alias("mark"), F.lit(0).cast("long").alias("tell")))
     return _mix(slim, weights, most, seed).drop("place").withColumnRenamed("key", id_col)
 
 
@@ -165,12 +165,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """docs as the mix takes them: each document once for every whole pass, and once more cut to its first words where the last pass ends within it.
 
     Columns are those of docs, whatever their names; one named n_chars follows the text. Documents that the mix does not take (those without words,
-    null, empty or blank, among them) are left out; an empty table gives no rows. The rows are numbered once and stored, so docs may come in any order,
-    and the mix is the same in each where ids are unique; where ids repeat, the shuffle draws on that number too, and another order gives another mix.
+    null, empty or blank, among them) are left out; an empty table gives no rows. The rows are numbered once and stored; the shuffle draws on their
+    columns and on a number among equal rows, so the mix is the same in whatever order docs come, null and repeated ids included.
     """
     place, size, taken, turn, words = (fresh(docs.columns, c) for c in ("place", "size", "taken", "turn", "words"))
     rows = cut(docs.withColumn(place, F.monotonically_increasing_id()))
-    slim = cut(rows.select(F.col(id_col).alias("key"), F.col(place).alias("place"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source")))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind] or [F.lit(0)]  # what hashes cannot read tells no rows apart
+    slim = cut(rows.select(F.col(id_col).alias("key"), F.col(place).alias("place"), word_count(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col, source_col).alias("mark"), F.xxhash64(*hashed).alias("tell")))
     mix = _mix(slim, weights, most, seed).where("taken > 0").select(F.col("place").alias(place), F.col("size").alias(size), F.col("taken").alias(taken))
     passes = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(taken) / F.col(size)) - 1)
     rows = rows.join(mix, place).withColumn(turn, F.explode(passes)).withColumn(words, F.least(F.col(size), F.col(taken) - F.col(turn) * F.col(size)))
