@@ -1,9 +1,9 @@
 """Licence scans with a positional index of rare words.
 
-Each template is a whole licence text, or a phrase, and has a mandatory key phrase. The index files every word of the key phrases with its
-postings, (template, place). A document looks up its licence words, rarest in the corpus first: a template whose key words it does not all
-hold is out; for the others the places of the rarest word propose where the template would begin, and the next words' postings, by relative
-position, leave only the beginnings on which all agree. What is left is the key phrase, word by word; around it the rest of the text is scored.
+Each template is a whole licence text, or a phrase, and has a mandatory key phrase. The index files every word of the key phrases with the
+templates that hold it, and every template with its words by place. A document looks up its licence words: a template whose key words it does not all
+hold is out; for the others the places of the word that is rarest in the corpus propose where the template would begin, and the next rarest words,
+moved by their places in the template, leave only the beginnings on which all agree. What is left is the key phrase, word by word; around it the rest of the text is scored.
 """
 
 from __future__ import annotations
@@ -63,6 +63,10 @@ TEMPLATES = (
 )
 
 
+#: Places times words of a template that are compared at once.
+SCORED = 1 << 18
+
+
 class PositionalIndex:
     """Postings of licence words. documents: how many documents there are; frequency: how many hold each word."""
 
@@ -106,7 +110,7 @@ class PositionalIndex:
         return full // len(self.runs), full % len(self.runs)
 
     def places(self, found: Texts) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(template, text, word where its key phrase begins, share of its weight that stands in place), for each template found."""
+        """(template, text, word where its key phrase begins, share of its weight that stands in place), for each template found, some places at once."""
         number = self.words(found)
         known = np.flatnonzero(number >= 0)
         own = np.searchsorted(found.first, known, side="right") - 1
@@ -129,11 +133,14 @@ class PositionalIndex:
                 text, start = text[agree], start[agree]
             if not len(text):
                 continue
-            at = start[:, None] + np.arange(len(run))
-            stands = (at >= found.first[text][:, None]) & (at < found.first[text + 1][:, None])
-            stands[stands] = number[at[stands]] == np.broadcast_to(run, at.shape)[stands]
-            share = (stands * self.idf[run]).sum(axis=1) / self.idf[run].sum()
-            yield int(t), text, start + self.begin[t], np.minimum(share, 1.0)
+            each = max(1, SCORED // len(run))
+            for low in range(0, len(text), each):  # a text may hold a phrase any number of times
+                mine, begins = text[low : low + each], start[low : low + each]
+                at = begins[:, None] + np.arange(len(run))
+                stands = (at >= found.first[mine][:, None]) & (at < found.first[mine + 1][:, None])
+                stands[stands] = number[at[stands]] == np.broadcast_to(run, at.shape)[stands]
+                share = (stands * self.idf[run]).sum(axis=1) / self.idf[run].sum()
+                yield int(t), mine, begins + self.begin[t], np.minimum(share, 1.0)
 
 
 def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> tuple[int, dict[str, int]]:
