@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,13 @@ CONVERSIONS: dict[str, Callable[..., Column]] = {
     "linear": lambda d, max_distance=1.0: 1 - d / F.lit(float(max_distance)),
 }
 
+#: The same for arrays.
+NUMPY_CONVERSIONS: dict[str, Callable[..., np.ndarray]] = {
+    "inverse": lambda d: 1 / (1 + d),
+    "exponential": lambda d, alpha=1.0: np.exp(-d / float(alpha)),
+    "linear": lambda d, max_distance=1.0: 1 - d / float(max_distance),
+}
+
 #: How the three similarities become one.
 FUSIONS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "multiply": lambda what, where, when: what * where * when,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.similarity import CONVERSIONS, FUSIONS
+from eventloom.operators.bridges import bounded_bridges
 from eventloom.operators.components import components
 from eventloom.operators.pairs import event_pairs
 from eventloom.operators.prepare import renumber
@@ -49,7 +50,7 @@ def weighed_pairs(nodes: DataFrame, config: GraphConfig, within: bool = True) ->
     """(u, v, weight_all, weight, what_sim, where_sim, when_sim): every allowed direction of every pair.
 
     weight_all is the fused similarity, weight the same where all ranges hold and else 0. within: only pairs inside the time window are made,
-    enough for edges; bridges need them all.
+    enough for edges and for thresholds, which know of the others without seeing them.
     """
     pairs = event_pairs(nodes, config.when_range[1] if within else None)
     pairs = pairs.withColumn("where_sim", CONVERSIONS[config.where_conversion](F.col("km"), **config.where_args)).withColumn("when_sim", CONVERSIONS[config.when_conversion](F.col("days"), **config.when_args))
@@ -61,10 +62,19 @@ def weighed_pairs(nodes: DataFrame, config: GraphConfig, within: bool = True) ->
     return pairs if config.directed else pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight_all", "weight", "what_sim", "where_sim", "when_sim"))
 
 
-def similarity_edges(pairs: DataFrame, config: GraphConfig) -> DataFrame:
-    """Each node's outgoing pairs at or above its own threshold, the best max_neighbors of them; undirected: each edge once, from the smaller node."""
+def similarity_edges(pairs: DataFrame, config: GraphConfig, n_nodes: int | None = None) -> DataFrame:
+    """Each node's outgoing pairs at or above its own threshold, the best max_neighbors of them; undirected: each edge once, from the smaller node.
+
+    positive_only: thresholds are of a node's positive weights. Else they are of its weights to all n_nodes nodes, itself included: whatever is out of
+    range, out of the window or against the direction weighs 0 and counts, without being stored. Pairs of weight 0 are no edges in either case.
+    """
     live = cut(pairs.where("weight > 0") if config.positive_only else pairs.where("weight <> 0"))
-    kept = live.join(thresholds(live, config.filter_type, config.threshold), "u").where("weight >= threshold")
+    zeros = None
+    if not config.positive_only:
+        if n_nodes is None:
+            raise ValueError("thresholds over all weights need the number of nodes")
+        zeros = live.groupBy("u").agg((F.lit(n_nodes) - F.count(F.lit(1))).alias("z"))
+    kept = live.join(thresholds(live, config.filter_type, config.threshold, zeros=zeros), "u").where("weight >= threshold")
     if config.max_neighbors is not None:
         best = Window.partitionBy("u").orderBy(F.desc("weight"), F.desc("v"))
         kept = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= config.max_neighbors)
@@ -75,7 +85,7 @@ def similarity_edges(pairs: DataFrame, config: GraphConfig) -> DataFrame:
     return ends.groupBy("a", "b").agg(*[F.first(c).alias(c) for c in columns[2:]]).select(F.col("a").alias("u"), F.col("b").alias("v"), *columns[2:], F.lit("similarity").alias("edge_type"))
 
 
-def bridge_edges(nodes: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def bridge_edges(nodes: DataFrame, edges: DataFrame, config: GraphConfig) -> DataFrame:
     """One edge to each component but the largest, from the union of the larger ones: the pair of highest unconstrained similarity.
 
     Components are ranked by size, then by smallest node. Joining the two largest again and again always adds the next one of this order, so every
@@ -84,16 +94,12 @@ def bridge_edges(nodes: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFr
     member = cut(components(nodes, edges))
     sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     rank = renumber(sizes.select("component", F.struct((-F.col("size")).alias("size"), "component").alias("place")), "place", "rank")
-    ranked = cut(member.join(rank, "component").select("seq_id", "rank"))
-    across = pairs.select("u", "v", "weight_all", "what_sim", "where_sim", "when_sim").join(ranked.select(F.col("seq_id").alias("u"), F.col("rank").alias("ru")), "u").join(ranked.select(F.col("seq_id").alias("v"), F.col("rank").alias("rv")), "v")
-    # A pair against the allowed direction is there too, with similarity 0.
-    ways = across.select("u", "v", "ru", "rv", "weight_all", "what_sim", "where_sim", "when_sim").union(across.select("v", "u", "rv", "ru", F.lit(0.0), "what_sim", "where_sim", "when_sim")).where("ru < rv")
-    order = F.struct(F.col("weight_all").alias("w"), (-F.col("u")).alias("u"), (-F.col("v")).alias("v"))
-    best = ways.groupBy("rv").agg(F.max_by(F.struct("u", "v", "weight_all", "what_sim", "where_sim", "when_sim"), order).alias("e"))
-    return best.select("e.u", "e.v", F.col("e.weight_all").alias("weight"), "e.what_sim", "e.where_sim", "e.when_sim", F.lit("component_bridge").alias("edge_type"))
+    best = bounded_bridges(nodes.join(member.join(rank, "component").select("seq_id", "rank"), "seq_id"), config)
+    return best.select("u", "v", "weight", "what_sim", "where_sim", "when_sim", F.lit("component_bridge").alias("edge_type"))
 
 
 def build_graph(nodes: DataFrame, config: GraphConfig = NEWS) -> DataFrame:
     """All edges of the event graph of nodes (seq_id, what_vec, when, lat, lon)."""
-    edges = cut(similarity_edges(weighed_pairs(nodes, config), config))
-    return edges.union(bridge_edges(nodes, weighed_pairs(nodes, config, within=False), edges))
+    nodes = cut(nodes)
+    edges = cut(similarity_edges(weighed_pairs(nodes, config), config, nodes.count()))
+    return edges.union(bridge_edges(nodes, edges, config))

@@ -102,6 +102,28 @@ def extreme_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.max("what_sim").alias("most"), F.max_by(a, "what_sim").alias("most_a"), F.max_by(b, "what_sim").alias("most_b"), F.min("what_sim").alias("least"), F.min_by(a, "what_sim").alias("least_a"), F.min_by(b, "what_sim").alias("least_b"))
 
 
+# Thresholds over all similarities of a node: those below 0.1 and those to nodes that are not later count as 0.
+_WITH_ZEROS = NODES_SQL + """, whole AS MATERIALIZED (SELECT a.seq_id AS u, CASE WHEN (a.t < b.t OR a.t = b.t AND a.seq_id > b.seq_id) AND list_inner_product(a.what_vec, b.what_vec) >= 0.1 THEN list_inner_product(a.what_vec, b.what_vec) ELSE 0 END AS weight FROM ev_nodes a, ev_nodes b),
+linked AS (SELECT u FROM whole GROUP BY u HAVING count(*) FILTER (weight <> 0) > 0)"""
+_ZEROS_SQL = _CLOSED_SQL | {"percentile": "quantile_cont(weight, 0.98)", "zscore": "avg(weight) + 2.0 * stddev_pop(weight)"}
+
+
+def _threshold_with_zeros(method: str, n: float | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = cut(ev_nodes(spark, sf_dir))
+        live = cut(event_pairs(nodes).where("what_sim >= 0.1").select("u", F.col("what_sim").alias("weight")))
+        zeros = live.groupBy("u").agg((F.lit(nodes.count()) - F.count(F.lit(1))).alias("z"))
+        return thresholds(live, method, n, zeros=zeros)
+
+    run.__name__ = f"threshold_{method}_with_zeros"
+    return run
+
+
+for _m, _n in (("zscore", None), ("iqr", None), ("percentile", 98.0)):
+    query(f"WITH {_WITH_ZEROS} SELECT u, round({_ZEROS_SQL[_m]}, 6) AS threshold FROM whole JOIN linked USING (u) GROUP BY u")(_threshold_with_zeros(_m, _n))
+query(f"WITH {_WITH_ZEROS}, mid AS (SELECT u, median(weight) AS m FROM whole JOIN linked USING (u) GROUP BY u) SELECT w.u, round(any_value(m) + 3.5 * median(abs(weight - m)) / 0.6745, 6) AS threshold FROM whole w JOIN mid USING (u) GROUP BY w.u")(_threshold_with_zeros("mad", None))
+
+
 _EDGE_COLUMNS = "u, v, round(weight, 6) AS weight, round(what_sim, 6) AS what_sim, round(where_sim, 6) AS where_sim, round(when_sim, 6) AS when_sim, edge_type"
 
 
@@ -148,8 +170,7 @@ bridges AS (SELECT u, v, w AS weight, what_sim, where_sim, when_sim, 'component_
 
 @query(f"WITH RECURSIVE {edges_sql(7)}{COMPONENTS_SQL}{_BRIDGES_SQL} SELECT {_EDGE_COLUMNS} FROM bridges")
 def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ev_nodes(spark, sf_dir)
-    return bridge_edges(nodes, weighed_pairs(nodes, WEEK, within=False), news_edges(spark, sf_dir, WEEK))
+    return bridge_edges(cut(ev_nodes(spark, sf_dir)), news_edges(spark, sf_dir, WEEK), WEEK)
 
 
 _FULL_SQL = f"{edges_sql(7)}{COMPONENTS_SQL}{_BRIDGES_SQL}, whole AS MATERIALIZED (SELECT * FROM edges UNION ALL SELECT * FROM bridges)"

@@ -44,11 +44,24 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        return _with_plain_size(df.select("*").checkpoint(eager=True))
     finally:
         spark.conf.set(_CLEANUP, before)
 
 
+def _with_plain_size(stored: DataFrame) -> DataFrame:
+    """stored, without an estimate of its size that has outgrown 62 bits.
+
+    A stored result keeps the estimate of its plan, and a join's is the product of its sides': over stored results of joins of stored results the
+    estimates' digits double from step to step, until planning does nothing but multiply them. Without one, the size is unknown until the rows are read.
+    """
+    plan = stored._jdf.queryExecution().analyzed()
+    if int(plan.stats().sizeInBytes()).bit_length() <= 62:
+        return stored
+    session = stored.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.rdd(), stored._jdf.schema(), False), session)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete what cut() stored for frames that nothing needs any more."""
     for df in frames:

@@ -90,7 +90,7 @@ def test_bridges_between_sizes_5_3_3_1(spark, nodes):
     few = nodes.where("seq_id < 12")
     chains = [(a, a + 1) for a in (0, 1, 2, 3)] + [(5, 6), (6, 7), (8, 9), (9, 10)]
     e = spark.createDataFrame([(u, v, 0.5, 0.5, 0.5, 0.5, "similarity") for u, v in chains], "u long, v long, weight double, what_sim double, where_sim double, when_sim double, edge_type string")
-    got = bridge_edges(few, weighed_pairs(few, GraphConfig("what"), within=False), e).collect()
+    got = bridge_edges(few, e, GraphConfig("what")).collect()
     assert len(got) == 3
     group = lambda k: 0 if k < 5 else 1 if k < 8 else 2 if k < 11 else 3
     assert sorted(group(r.v) for r in got) == [1, 2, 3] and all(group(r.u) < group(r.v) for r in got)
