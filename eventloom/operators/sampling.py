@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.rand import race, u01
-from eventloom.functions.similarity import dot, whole_days
+from eventloom.operators.negatives import drawn_pairs, free_pairs, hard_pairs, with_similarity
 from eventloom.runtime import cut
 
 # Label files carry these strings.
@@ -44,32 +44,6 @@ def true_edges(edges: DataFrame, test: DataFrame, share: float | int, seed: int)
     return found.orderBy(u01(seed, "u", "v"), "u", "v").limit(quota(found.count(), share))
 
 
-def negative_pairs(nodes: DataFrame, edges: DataFrame, test: DataFrame) -> DataFrame:
-    """(u, v, what_sim, days): every train node with every test node that it has no edge to. As many rows as that: the pool that negatives are drawn from."""
-    tested = test.select("seq_id")
-    v = nodes.join(tested, "seq_id", "left_semi").select(F.col("seq_id").alias("v"), F.col("what_vec").alias("vv"), F.col("when").alias("tv"))
-    u = nodes.join(tested, "seq_id", "left_anti").select(F.col("seq_id").alias("u"), F.col("what_vec").alias("vu"), F.col("when").alias("tu"))
-    # Tiles on both sides spread the product over tasks.
-    u = u.withColumn("a", F.pmod(F.xxhash64("u"), F.lit(8))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    v = v.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    pool = u.join(v, ["a", "b"]).join(edges.select("u", "v"), ["u", "v"], "left_anti")
-    return pool.select("u", "v", dot("vu", "vv").alias("what_sim"), whole_days("tu", "tv").alias("days"))
-
-
-def hard_negatives(pool: DataFrame, n: int) -> DataFrame:
-    """The n pairs that are most alike."""
-    return pool.orderBy(F.desc("what_sim"), "u", "v").limit(n)
-
-
-def temporal_negatives(pool: DataFrame, n: int, window: int, seed: int) -> DataFrame:
-    """n pairs whose target comes 1 to `window` whole days after the source."""
-    return pool.where(F.col("days").between(1, window)).orderBy(u01(seed, "u", "v"), "u", "v").limit(n)
-
-
-def random_negatives(pool: DataFrame, n: int, seed: int) -> DataFrame:
-    return pool.orderBy(u01(seed, "u", "v"), "u", "v").limit(n)
-
-
 def difficulty(true: DataFrame) -> DataFrame:
     """True edges with the label of their quartile of similarity."""
     q = true.agg(F.percentile("what_sim", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
@@ -79,17 +53,20 @@ def difficulty(true: DataFrame) -> DataFrame:
 
 
 def labelled_split(nodes: DataFrame, edges: DataFrame, test_share: float = 0.1, edge_share: float | int = 1.0, hard: float = 0.4, temporal: float = 0.3, window: int = 31, seed: int = 2026) -> DataFrame:
-    """(u, v, label, label_description, what_sim): true test edges by difficulty, and as many negatives in three kinds, none twice."""
+    """(u, v, label, label_description, what_sim): true test edges by difficulty, and as many negatives in three kinds, none twice (fewer, if fewer pairs are free).
+
+    Negatives lead from train nodes to test nodes: the most alike, then draws among those where v follows u within `window` days, then draws among all that are left.
+    """
     edges = cut(edges)
     test = cut(test_nodes(nodes, edges, test_share))
     true = cut(true_edges(edges, test, edge_share, seed))
     n = true.count()
-    pool = cut(negative_pairs(nodes, edges, test))
-    most_alike = cut(hard_negatives(pool, int(n * hard)))
-    rest = pool.join(most_alike.select("u", "v"), ["u", "v"], "left_anti")
-    plausible = cut(temporal_negatives(rest, int(n * temporal), window, seed))
-    rest = rest.join(plausible.select("u", "v"), ["u", "v"], "left_anti")
-    other = random_negatives(rest, n - int(n * hard) - int(n * temporal), seed)
+    barred = edges.select("u", "v")
+    most_alike = cut(hard_pairs(nodes, test, barred, int(n * hard)))
+    barred = cut(barred.union(most_alike.select("u", "v")))
+    plausible = cut(with_similarity(drawn_pairs(free_pairs(nodes, test, barred, window), int(n * temporal), seed), nodes))
+    barred = cut(barred.union(plausible.select("u", "v")))
+    other = with_similarity(drawn_pairs(free_pairs(nodes, test, barred), n - int(n * hard) - int(n * temporal), seed), nodes)
     out = difficulty(true)
     for frame, name in ((most_alike, LABELS[4]), (plausible, LABELS[5]), (other, LABELS[6])):
         out = out.union(frame.select("u", "v", F.lit(False), F.lit(name), "what_sim"))

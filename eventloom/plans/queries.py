@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.rand import race_sql, u01, u01_sql
 from eventloom.functions.similarity import CONVERSIONS, FUSIONS
-from eventloom.operators import graph, sampling, walks
+from eventloom.operators import graph, negatives, sampling, walks
 from eventloom.operators.components import components
 from eventloom.operators.pairs import event_pairs
 from eventloom.operators.thresholds import thresholds
@@ -281,6 +281,14 @@ pool AS MATERIALIZED (SELECT a.seq_id AS u, b.seq_id AS v, list_inner_product(a.
   FROM ev_nodes a JOIN ev_nodes b ON a.seq_id NOT IN (SELECT seq_id FROM tested) AND b.seq_id IN (SELECT seq_id FROM tested) WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.u = a.seq_id AND e.v = b.seq_id))"""
 
 
+def _drawn_sql(name: str, pool: str, n: str, seed: int) -> str:
+    """`name`: one pair of each of n stretches of the numbered pairs of `pool`."""
+    return f"""{name}_all AS MATERIALIZED (SELECT p.u, p.v, p.what_sim, p.days, row_number() OVER (ORDER BY p.u, x.t, p.v) - 1 AS r FROM {pool} p JOIN ev_nodes x ON x.seq_id = p.v),
+{name}_n AS (SELECT least({n}, (SELECT count(*) FROM {name}_all)) AS n, (SELECT count(*) FROM {name}_all) AS total),
+{name}_k AS (SELECT k, k * total // n AS low, (k + 1) * total // n AS high FROM {name}_n, range(100000) r(k) WHERE k < n),
+{name} AS MATERIALIZED (SELECT u, v, what_sim, days FROM {name}_all JOIN {name}_k ON r = low + CAST(floor({u01_sql(seed, "k")} * (high - low)) AS BIGINT))"""
+
+
 def _split_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = ev_nodes(spark, sf_dir), news_edges(spark, sf_dir)
     return nodes, edges, cut(sampling.test_nodes(nodes, edges, 0.1))
@@ -299,30 +307,34 @@ def split_true_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {edges_sql()}{_TEST} SELECT v, count(*) AS n, round(avg(what_sim), 6) AS what_sim FROM pool GROUP BY v")
 def neg_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.negative_pairs(*_split_parts(spark, sf_dir)).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.avg("what_sim").alias("what_sim"))
+    nodes, edges, test = _split_parts(spark, sf_dir)
+    return negatives.pool_by_target(nodes, test, edges)
 
 
 @query(f"WITH {edges_sql()}{_TEST} SELECT u, v, round(what_sim, 6) AS what_sim FROM pool ORDER BY pool.what_sim DESC, u, v LIMIT 20")
 def neg_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.hard_negatives(sampling.negative_pairs(*_split_parts(spark, sf_dir)), 20).select("u", "v", "what_sim")
+    nodes, edges, test = _split_parts(spark, sf_dir)
+    return negatives.hard_pairs(nodes, test, edges, 20)
 
 
-@query(f"WITH {edges_sql()}{_TEST} SELECT u, v, days FROM pool WHERE days BETWEEN 1 AND 10 ORDER BY {u01_sql(7, 'u', 'v')}, u, v LIMIT 20")
+@query(f"WITH {edges_sql()}{_TEST}, {_drawn_sql('drawn', '(SELECT * FROM pool WHERE days BETWEEN 1 AND 10)', '20', 7)} SELECT u, v, days FROM drawn")
 def neg_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.temporal_negatives(sampling.negative_pairs(*_split_parts(spark, sf_dir)), 20, 10, 7).select("u", "v", "days")
+    nodes, edges, test = _split_parts(spark, sf_dir)
+    return negatives.with_similarity(negatives.drawn_pairs(negatives.free_pairs(nodes, test, edges, 10), 20, 7), nodes).select("u", "v", "days")
 
 
-@query(f"WITH {edges_sql()}{_TEST} SELECT u, v FROM pool ORDER BY {u01_sql(8, 'u', 'v')}, u, v LIMIT 20")
+@query(f"WITH {edges_sql()}{_TEST}, {_drawn_sql('drawn', 'pool', '20', 8)} SELECT u, v FROM drawn")
 def neg_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.random_negatives(sampling.negative_pairs(*_split_parts(spark, sf_dir)), 20, 8).select("u", "v")
+    nodes, edges, test = _split_parts(spark, sf_dir)
+    return negatives.drawn_pairs(negatives.free_pairs(nodes, test, edges), 20, 8).select("u", "v")
 
 
 _LABELLED = f""", n AS (SELECT count(*) AS n, quantile_cont(what_sim, 0.25) AS a, quantile_cont(what_sim, 0.5) AS b, quantile_cont(what_sim, 0.75) AS c FROM true_edges),
 hard AS MATERIALIZED (SELECT u, v, what_sim FROM pool ORDER BY what_sim DESC, u, v LIMIT (SELECT CAST(floor(n * 0.4) AS BIGINT) FROM n)),
 rest1 AS MATERIALIZED (SELECT * FROM pool p WHERE NOT EXISTS (SELECT 1 FROM hard h WHERE h.u = p.u AND h.v = p.v)),
-plausible AS MATERIALIZED (SELECT u, v, what_sim FROM rest1 WHERE days BETWEEN 1 AND 31 ORDER BY {u01_sql(2026, "u", "v")}, u, v LIMIT (SELECT CAST(floor(n * 0.3) AS BIGINT) FROM n)),
+{_drawn_sql("plausible", "(SELECT * FROM rest1 WHERE days BETWEEN 1 AND 31)", "(SELECT CAST(floor(n * 0.3) AS BIGINT) FROM n)", 2026)},
 rest2 AS (SELECT * FROM rest1 p WHERE NOT EXISTS (SELECT 1 FROM plausible h WHERE h.u = p.u AND h.v = p.v)),
-other AS (SELECT u, v, what_sim FROM rest2 ORDER BY {u01_sql(2026, "u", "v")}, u, v LIMIT (SELECT n - CAST(floor(n * 0.4) AS BIGINT) - CAST(floor(n * 0.3) AS BIGINT) FROM n)),
+{_drawn_sql("other", "rest2", "(SELECT n - CAST(floor(n * 0.4) AS BIGINT) - CAST(floor(n * 0.3) AS BIGINT) FROM n)", 2026)},
 labelled AS (SELECT u, v, true AS label, CASE WHEN what_sim >= c THEN '{sampling.LABELS[0]}' WHEN what_sim >= b THEN '{sampling.LABELS[1]}' WHEN what_sim >= a THEN '{sampling.LABELS[2]}' ELSE '{sampling.LABELS[3]}' END AS label_description, what_sim FROM true_edges, n
   UNION ALL SELECT u, v, false, '{sampling.LABELS[4]}', what_sim FROM hard UNION ALL SELECT u, v, false, '{sampling.LABELS[5]}', what_sim FROM plausible UNION ALL SELECT u, v, false, '{sampling.LABELS[6]}', what_sim FROM other)"""
 
