@@ -6,44 +6,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.operators.components import components
+from eventloom.operators.prepare import renumber
 from eventloom.runtime import cut
 
 
-def removable_edges(nodes: DataFrame, edges: DataFrame, k: int, attribute: str = "weight") -> DataFrame:
-    """The k best edges (by attribute, ties by u, v; all there are, if fewer) whose joint removal leaves as many components as before; none into a node that is already a removed edge's source.
+def late_forest(nodes: DataFrame, kept: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(pos): a spanning forest of edges (u, v, pos) upon kept (u, v), which stand anyway; of the edges of a cycle the one of the smallest pos stays out.
 
-    A spanning forest of the worst edges keeps every component together; edges outside it may all go at once. It grows in rounds,
-    each component taking its worst edge to another one, so the work is joins and the number of rounds is logarithmic.
+    It grows in rounds: each part takes its edge of the largest pos to another one, so the rounds are logarithmic in the nodes.
     """
-    order = F.struct(F.col(attribute).alias("w"), (-F.col("u")).alias("a"), (-F.col("v")).alias("b"))
-    label = cut(nodes.select(F.col("seq_id").alias("node"), F.col("seq_id").alias("part")))
-    left = cut(edges.select("u", "v", attribute))
-    forest = None
+    part = components(nodes, kept) if kept is not None else nodes.select("seq_id", F.col("seq_id").alias("component"))
+    label = cut(part.select(F.col("seq_id").alias("node"), F.col("component").alias("part")))
+    left, forest = edges, None
     while True:
-        ends = left.join(label.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(label.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v").where("pu <> pv")
-        ends = cut(ends)
+        ends = left.join(label.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(label.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
+        ends = cut(ends.where("pu <> pv"))
         if ends.isEmpty():
-            break
-        sides = ends.select("pu", "pv", "u", "v", attribute).union(ends.select("pv", "pu", "u", "v", attribute))
-        taken = cut(sides.groupBy("pu").agg(F.min_by(F.struct("pv", "u", "v"), order).alias("e")).select("pu", "e.pv", "e.u", "e.v"))
-        forest = taken.select("u", "v") if forest is None else forest.union(taken.select("u", "v"))
+            return edges.limit(0).select("pos") if forest is None else forest.distinct()
+        sides = ends.select("pu", "pv", "pos").union(ends.select("pv", "pu", "pos"))
+        taken = cut(sides.groupBy("pu").agg(F.max_by("pv", "pos").alias("pv"), F.max("pos").alias("pos")))
+        forest = taken.select("pos") if forest is None else forest.union(taken.select("pos"))
         # Parts shrink into each other: the next round's labels are the components of this round's parts.
         joined = components(taken.select(F.col("pu").alias("seq_id")), taken.select(F.col("pu").alias("u"), F.col("pv").alias("v")))
         label = cut(label.join(joined.withColumnRenamed("seq_id", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("part")))
-        left = ends.select("u", "v", attribute)
-    free = edges if forest is None else edges.join(forest, ["u", "v"], "left_anti")
-    # Taken best first, an edge goes unless its target is the source of one that went before it. Edges that no open or gone edge before them blocks are
-    # settled together, then those that these block; each round settles the best open edge at least, and many more.
-    open_ = cut(free.withColumn("place", F.struct((-F.col(attribute)).alias("a"), "u", "v")))
-    gone = None
+        left = ends.select("u", "v", "pos")
+
+
+def removable_edges(nodes: DataFrame, edges: DataFrame, k: int, attribute: str = "weight") -> DataFrame:
+    """The first k edges (fewer, if there are no more) that go when edges are tried one by one, best attribute first, ties by u, v.
+
+    An edge is skipped, and stays, if its target is the source of one that went before; else it goes if its ends stay connected by what is left then.
+    Edges are unique pairs (u, v).
+
+    What is left when an edge is tried are all later edges and the earlier ones that stayed. So, upon the edges known to stay, those outside of a
+    spanning forest of the latest edges can go, whatever is decided about others; one of them goes for certain if no undecided or gone edge before it starts at its
+    target, and stays for certain if a gone one does. Forest edges stay if no edge before them is undecided that is outside. Each round decides all that is certain, the first
+    undecided edge at least; only skipped edges from outside of the forest, which let a forest edge out of it, call for a new forest.
+    """
+    order = F.struct((-F.col(attribute)).alias("a"), "u", "v")
+    open_ = cut(renumber(edges.select("u", "v", order.alias("place")), "place", "pos").select("u", "v", F.col("pos").cast("long").alias("pos")))
+    gone = kept = forest = None
     while True:
-        sources = open_.groupBy(F.col("u").alias("v")).agg(F.min("place").alias("first"))
-        went = open_.join(sources, "v", "left").where("first is null or first >= place").drop("first").select(*open_.columns)
-        gone = cut(went if gone is None else gone.union(went))
-        blockers = gone.groupBy(F.col("u").alias("v")).agg(F.min("place").alias("first"))
-        rest = open_.join(gone.select("u", "v"), ["u", "v"], "left_anti").join(blockers, "v", "left").where("first is null or first >= place")
-        open_ = cut(rest.select(*open_.columns))
-        best = gone.orderBy("place").limit(k)
-        next_ = open_.agg(F.min("place").alias("p")).first()["p"]
-        if next_ is None or best.where(F.col("place") < F.struct(F.lit(next_["a"]).alias("a"), F.lit(next_["u"]).alias("u"), F.lit(next_["v"]).alias("v"))).count() >= k:
-            return best.select(*edges.columns)
+        if forest is None:
+            forest = cut(late_forest(nodes, kept, open_))
+        marked = cut(open_.join(forest.withColumn("inside", F.lit(True)), "pos", "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
+        first = marked.where("not inside").agg(F.min("pos")).first()[0]
+        if first is None:
+            break
+        waiting = marked.where(f"not inside or pos >= {first}")  # forest edges before the first one outside stay
+        starts = waiting.select(F.col("u").alias("v"), "pos")
+        went = gone.select(F.col("u").alias("v"), "pos") if gone is not None else starts.limit(0)
+        blocks = starts.groupBy("v").agg(F.min("pos").alias("undecided")).join(went.groupBy("v").agg(F.min("pos").alias("went")), "v", "full")
+        judged = waiting.join(blocks, "v", "left").withColumn("fate", F.when(F.col("went") < F.col("pos"), "stays").when(F.col("undecided") < F.col("pos"), "waits").when(~F.col("inside"), "goes").otherwise("waits"))
+        judged = cut(judged.select("u", "v", "pos", "inside", "fate"))
+        stays = judged.where("fate = 'stays'").select("u", "v").union(marked.where(f"inside and pos < {first}").select("u", "v"))
+        kept = cut(stays if kept is None else kept.union(stays))
+        goes = judged.where("fate = 'goes'").select("u", "v", "pos")
+        gone = cut(goes if gone is None else gone.union(goes))
+        open_ = cut(judged.where("fate = 'waits'").select("u", "v", "pos"))
+        if not judged.where("fate = 'stays' and not inside").isEmpty():
+            forest = None
+        least = open_.agg(F.min("pos")).first()[0]
+        if least is None or gone.where(F.col("pos") < least).count() >= k:
+            break
+    if gone is None:
+        return edges.limit(0)
+    best = gone.orderBy("pos").limit(k).select("u", "v")
+    return edges.join(best, ["u", "v"], "left_semi").select(*edges.columns)

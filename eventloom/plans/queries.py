@@ -12,6 +12,7 @@ from eventloom.functions.similarity import CONVERSIONS, FUSIONS
 from eventloom.operators import graph, negatives, sampling, walks
 from eventloom.operators.components import components
 from eventloom.operators.pairs import event_pairs
+from eventloom.operators.removable import removable_edges
 from eventloom.operators.thresholds import thresholds
 from eventloom.plans.event_graph import NEWS, GraphConfig, bridge_edges, build_graph, similarity_edges, weighed_pairs
 from eventloom.plans.views import COMPONENTS_SQL, NODES_SQL, PAIRS_SQL, WEEK, edges_sql, ev_nodes, news_edges, rounded
@@ -201,7 +202,9 @@ def degree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {edges_sql()}, m AS MATERIALIZED (SELECT u, v, count(*) AS m FROM (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges) GROUP BY u, v),
-    tri AS (SELECT a.u, sum(a.m * b.m * c.m) AS t FROM m a JOIN m b ON b.u = a.u AND a.v < b.v JOIN m c ON c.u = a.v AND c.v = b.v GROUP BY a.u),
+    o AS MATERIALIZED (SELECT u, v, m FROM m WHERE u < v), wedge AS MATERIALIZED (SELECT a.u AS x, a.v AS y, b.v AS z, a.m * b.m AS m FROM o a JOIN o b ON b.u = a.v),
+    closed AS MATERIALIZED (SELECT x, y, z, w.m * o.m AS t FROM wedge w JOIN o ON o.u = w.x AND o.v = w.z),
+    tri AS (SELECT u, sum(t) AS t FROM (SELECT x AS u, t FROM closed UNION ALL SELECT y, t FROM closed UNION ALL SELECT z, t FROM closed) GROUP BY u),
     deg AS (SELECT u, sum(m) AS d, sum(CASE WHEN m = 2 THEN 1 ELSE 0 END) AS r FROM m GROUP BY u)
     SELECT n.seq_id AS node, round(CASE WHEN coalesce(2 * (d * (d - 1) - 2 * r), 0) > 0 THEN 2 * coalesce(tri.t, 0) / (2 * (d * (d - 1) - 2 * r)) ELSE 0 END, 6) AS clustering
     FROM ev_nodes n LEFT JOIN deg ON deg.u = n.seq_id LEFT JOIN tri ON tri.u = n.seq_id"""
@@ -272,6 +275,12 @@ def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.label_communities(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir))
 
 
+@query(None)
+def removable_edge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 edges that can go, best first, without a component falling apart or a target being a gone edge's source."""
+    return removable_edges(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir), 20).select("u", "v", "weight")
+
+
 # -- splits and negatives
 
 _TEST = f""", tested AS MATERIALIZED (SELECT seq_id FROM ev_nodes WHERE seq_id NOT IN (SELECT u FROM edges) ORDER BY t DESC, seq_id LIMIT CAST(floor((SELECT count(*) FROM ev_nodes) * 0.1) AS BIGINT)),
