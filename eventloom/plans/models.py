@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 
 
 class ModelClient(Protocol):
-    """What answers a batch of prompts; one is made in each task by a factory that can be pickled."""
+    """What answers a batch of prompts, one answer each; one is made in each task by a factory that can be pickled.
+
+    A client may name in `retried` the exceptions that another try may mend (ServerErrors, if it names none); others end the task.
+    """
 
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
+#: Failures of a model's server that are tried again.
+ServerErrors = (ConnectionError, TimeoutError)
+
+
 class StubClient:
     """Answers made from the prompt's hash: as a link decision, an extraction or a tagged event. The same prompt always has the same answer."""
 
@@ -40,7 +47,10 @@ class StubClient:
 
 
 def complete(prompts: DataFrame, factory: Callable[[], ModelClient], prompt: str = "prompt", answer: str = "answer", batch: int = 64, tries: int = 5, wait: float = 1.0) -> DataFrame:
-    """prompts with the model's answer, null where all tries failed. Every task makes one client; a failed batch is tried again after a growing wait."""
+    """prompts with the model's answer, null where all tries failed. Every task makes one client; a failed batch is tried again after a growing wait.
+
+    A batch fails with one of the client's `retried` exceptions, or with another number of answers than prompts.
+    """
     schema = prompts.withColumn(answer, F.lit(None).cast("string")).schema
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,20 +59,25 @@ def complete(prompts: DataFrame, factory: Callable[[], ModelClient], prompt: str
             out: list[str | None] = []
             for i in range(0, len(frame), batch):
                 texts = frame[prompt].iloc[i : i + batch].tolist()
-                for k in range(tries):
-                    try:
-                        out += client.complete(texts)
-                        break
-                    except Exception:  # a model server's failures are its own kinds
-                        if k == tries - 1:
-                            out += [None] * len(texts)
-                        else:
-                            time.sleep(wait * (k + 1))
+                out += _answers(client, texts, tries, wait)
             yield frame.assign(**{answer: pd.Series(out, index=frame.index, dtype=object)})
 
     return prompts.mapInPandas(scan, schema)
 
 
+def _answers(client: ModelClient, texts: list[str], tries: int, wait: float) -> list[str | None]:
+    for k in range(tries):
+        if k:
+            time.sleep(wait * k)
+        try:
+            found = client.complete(texts)
+        except getattr(client, "retried", ServerErrors):
+            continue
+        if len(found) == len(texts):
+            return list(found)
+    return [None] * len(texts)
+
+
 def last_tokens(tokens: str, most: int, answer_tokens: int):
     """Token ids cut from the left so that the answer still fits in the model's length."""
     n = most - answer_tokens

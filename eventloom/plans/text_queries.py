@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text
 from eventloom.functions.rand import u01, u01_sql
-from eventloom.operators import metrics, parsing, prepare
+from eventloom.operators import metrics, parsing, prepare, rank_tests
 from eventloom.plans.queries import query
 from eventloom.plans.views import LP_SQL, NODES_SQL, ev_nodes, lp_rows
 from eventloom.runtime import table
@@ -337,6 +337,43 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.wilcoxon(_complete(spark, sf_dir), "theme", "model", "v")
 
 
+_FRIEDMAN_TEST = f"""WITH {_FRIED}, r AS (SELECT theme, model, rank() OVER (PARTITION BY theme ORDER BY v) + (count(*) OVER (PARTITION BY theme, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY theme, v) AS same FROM whole),
+s AS (SELECT sum(x * x) AS ss, count(*) AS k FROM (SELECT sum(r) AS x FROM r GROUP BY model)), t AS (SELECT sum(same * same - 1) AS ties, count(DISTINCT theme) AS n FROM r),
+f AS (SELECT k, n, (12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1.0))) AS x FROM s, t)
+SELECT k, n, round(x, 6) AS statistic, round(CASE WHEN x <= 0 THEN 1 ELSE 1 - (SELECT sum(exp(((k - 1) / 2.0 + i) * ln(x / 2) - x / 2 - lgamma((k - 1) / 2.0 + i + 1))) FROM range(300) q(i)) END, 6) AS p_value FROM f"""
+
+
+@query(_FRIEDMAN_TEST)
+def friedman_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_tests.friedman_test(_complete(spark, sf_dir), "theme", "model", "v")
+
+
+# All ways to give each rank a sign are listed; Holm's limits are compared in the order of the p-values.
+_SIGNED = f"""{_FRIED}, m AS (SELECT x.theme, x.model AS a, y.model AS b, round(x.v - y.v, 12) AS d FROM whole x JOIN whole y ON x.theme = y.theme AND x.model < y.model),
+r AS (SELECT a, b, d, 2 * rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + count(*) OVER (PARTITION BY a, b, abs(d)) - 1 AS r FROM m WHERE d <> 0),
+g AS (SELECT a, b, count(*) AS n, list(r) AS rs, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w2 FROM r GROUP BY a, b),
+e AS (SELECT a, b, n, w2, rs, unnest(range(CAST(1 AS BIGINT) << n)) AS s FROM g),
+p AS (SELECT a, b, any_value(n) AS n, any_value(w2) / 2 AS w, least(1.0, 2 * count(*) FILTER (list_sum(list_transform(rs, lambda x, i: x * ((s >> (i - 1)) & 1))) <= w2) / count(*)) AS p_value FROM e GROUP BY a, b),
+w AS (SELECT DISTINCT m.a, m.b, coalesce(n, 0) AS n, coalesce(w, 0.0) AS w, coalesce(p_value, 1.0) AS p_value FROM m LEFT JOIN p ON p.a = m.a AND p.b = m.b),
+h AS (SELECT *, p_value <= 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p_value) + 1) AS ok, row_number() OVER (ORDER BY p_value) AS place FROM w),
+tested AS (SELECT a, b, n, w, p_value, bool_and(ok) OVER (ORDER BY place) AS rejected FROM h)"""
+
+
+@query(f"WITH {_SIGNED} SELECT a, b, n, round(w, 6) AS w, round(p_value, 6) AS p_value, rejected FROM tested")
+def wilcoxon_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_tests.wilcoxon_test(_complete(spark, sf_dir), "theme", "model", "v")
+
+
+@query(
+    f"""WITH {_SIGNED}, means AS (SELECT model, avg(r) AS mean_rank FROM (SELECT model, rank() OVER (PARTITION BY theme ORDER BY v DESC) + (count(*) OVER (PARTITION BY theme, v) - 1) / 2.0 AS r FROM whole) GROUP BY model),
+    ways AS (SELECT a, b FROM tested WHERE rejected UNION ALL SELECT b, a FROM tested WHERE rejected)
+    SELECT m.model, round(m.mean_rank, 6) AS mean_rank, count(*) FILTER (o.mean_rank > m.mean_rank) AS wins, count(*) FILTER (o.mean_rank < m.mean_rank) AS losses
+    FROM means m LEFT JOIN ways ON ways.a = m.model LEFT JOIN means o ON o.model = ways.b GROUP BY m.model, m.mean_rank"""
+)
+def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_tests.leaderboard(_complete(spark, sf_dir), "theme", "model", "v")
+
+
 @query(
     """WITH d AS (SELECT CAST(ts AS DATE) AS day, round(avg(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS v FROM events GROUP BY 1),
     b AS (SELECT day, v, max(v) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM d),
