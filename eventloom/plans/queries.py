@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.rand import race_sql, u01, u01_sql
 from eventloom.functions.similarity import CONVERSIONS, FUSIONS
-from eventloom.operators import graph, negatives, sampling, walks
+from eventloom.operators import graph, negatives, paths, sampling, walks
 from eventloom.operators.components import components
 from eventloom.operators.pairs import event_pairs
 from eventloom.operators.removable import removable_edges
@@ -228,7 +228,18 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {edges_sql()}{_PATHS} SELECT round(avg(dist), 6) AS avg_shortest_path_length, max(dist) AS max_shortest_path_length FROM paths")
 def shortest_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.path_summary(graph.shortest_paths(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir)))
+    return paths.path_totals(ev_nodes(spark, sf_dir), news_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {_FULL_SQL}, hops AS MATERIALIZED (SELECT u, v FROM whole UNION SELECT v, u FROM whole),
+    far AS (SELECT seq_id AS source, seq_id AS node, 0 AS dist FROM ev_nodes UNION SELECT f.source, h.v, f.dist + 1 FROM far f JOIN hops h ON h.u = f.node WHERE f.dist < 48),
+    near AS (SELECT source, node, min(dist) AS dist FROM far GROUP BY source, node)
+    SELECT CAST(max(dist) AS INTEGER) AS diameter, round(count(*) / pow((SELECT count(*) FROM ev_nodes), 2), 6) AS reached_share FROM near"""
+)
+def graph_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = cut(ev_nodes(spark, sf_dir))
+    return paths.bounded_diameter(nodes, build_graph(nodes, WEEK))
 
 
 @query(f"WITH RECURSIVE {edges_sql()}{_PATHS} SELECT source, count(*) AS size FROM paths WHERE dist <= 2 GROUP BY source")

@@ -57,10 +57,12 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(nodes, "nodes").crossJoin(count(test, "test")).crossJoin(count(both, "with_way_out"))  # single rows
 
 
-@query("WITH t AS (SELECT doc_id AS ord, substr(text, 1, 80) AS title FROM documents) SELECT ord FROM t WHERE ord > (SELECT min(ord) FROM t WHERE title = (SELECT title FROM t WHERE ord = 150))")
+@query("WITH last AS (SELECT min(d.doc_id) AS done FROM documents d JOIN documents l ON l.doc_id = 150 AND d.text = l.text) SELECT doc_id AS ord FROM documents, last WHERE done IS NULL OR doc_id > done")
 def resume_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 80).alias("title"))
-    return remaining(news, news.where("ord = 150").first()["title"]).select("ord")
+    """What is left after the text that row 150 holds, whole texts being the titles; all rows, if there is no such row."""
+    news = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("title"))
+    last = news.where("ord = 150").first()
+    return remaining(news, None if last is None else last["title"]).select("ord")
 
 
 @query("SELECT user_id, arg_max(props, event_id) FILTER (event_type = 'click') AS click, arg_max(props, event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
