@@ -49,15 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+#: Bits of a size estimate from which on it is dropped.
+_MOST_BITS = 1024
+
+
 def _with_plain_size(stored: DataFrame) -> DataFrame:
-    """stored, without an estimate of its size that has outgrown 62 bits.
+    """stored, without an estimate of its size that has outgrown _MOST_BITS.
 
     A stored result keeps the estimate of its plan, and a join's is the product of its sides': over stored results of joins of stored results the
     estimates' digits double from step to step, until planning does nothing but multiply them. Without one, the size is unknown until the rows are read.
     """
     plan = stored._jdf.queryExecution().analyzed()
-    if int(plan.stats().sizeInBytes()).bit_length() <= 62:
-        return stored
+    try:
+        if int(plan.stats().sizeInBytes()).bit_length() <= _MOST_BITS:
+            return stored
+    except ValueError:  # more digits than Python reads
+        pass
     session = stored.sparkSession
     return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.rdd(), stored._jdf.schema(), False), session)
 
