@@ -68,3 +68,20 @@ def test_a_node_is_sent_as_often_as_there_are_tiles(spark):
     for n in (300, 2000):
         found = tiles.Tiles(_nodes(spark, n, 1), tiles.Weighing())
         assert found.base.select("tile").distinct().count() <= tiles.PARTS and found.met.count() <= tiles.PARTS * (tiles.PARTS + 1) / 2
+
+
+@pytest.mark.parametrize("bins", [4, 128])
+def test_thresholds_over_all_pairs(spark, monkeypatch, bins):
+    """One row over the weights of all pairs, by each method, as numpy has them."""
+    nodes = _nodes(spark, 70, 9)
+    monkeypatch.setattr(tiles, "BINS", bins)
+    monkeypatch.setattr(tiles, "MOST", 5)
+    laid = tiles.Tiles(nodes, tiles.Weighing())
+    rows = [r for r in nodes.collect() if r.when is not None and r.what_vec is not None]
+    x = np.array([np.dot(a.what_vec, b.what_vec) for k, a in enumerate(rows) for b in rows[:k]])
+    x = x[x > 0]
+    q1, mid, q3, p = np.quantile(x, [0.25, 0.5, 0.75, 0.95])
+    expected = {"zscore": x.mean() + 2 * x.std(), "iqr": q3 + 3 * (q3 - q1), "percentile": p, "mad": mid + 3.5 * np.median(np.abs(x - mid)) / 0.6745}
+    found = tiles.thresholds(laid, {"zscore": 2.0, "iqr": 3.0, "percentile": 95.0, "mad": 3.5}, whole=True).drop("u").first().asDict()
+    assert found == pytest.approx(expected)
+    assert tiles.counts_above(laid, list(expected.values())[:3]) == [int((x >= t).sum()) for t in list(expected.values())[:3]]
