@@ -85,3 +85,21 @@ def test_thresholds_over_all_pairs(spark, monkeypatch, bins):
     found = tiles.thresholds(laid, {"zscore": 2.0, "iqr": 3.0, "percentile": 95.0, "mad": 3.5}, whole=True).drop("u").first().asDict()
     assert found == pytest.approx(expected)
     assert tiles.counts_above(laid, list(expected.values())[:3]) == [int((x >= t).sum()) for t in list(expected.values())[:3]]
+
+
+def test_sums_and_extremes_of_all_pairs(spark):
+    """Each node's sum over its pairs and the most and least alike pairs, unknown similarities left out, as the table of all pairs gives them."""
+    nodes = _nodes(spark, 60, 4)
+    pairs = [r for r in weighed_pairs(nodes, GraphConfig("multiply", what_range=(-9.0, 9.0))).collect()]
+    laid = tiles.Tiles(nodes, tiles.Weighing("multiply", what_range=None))
+    expected = {}
+    for r in pairs:
+        expected.setdefault(r.u, []).append(r.weight_all)
+    found = {r.u: r.multiply for r in tiles.sums(laid, {"multiply": lambda s: s.weight}).collect()}
+    assert found.keys() == expected.keys()
+    for u, xs in expected.items():
+        known = [x for x in xs if x is not None]
+        assert found[u] == (pytest.approx(sum(known)) if known else None)
+    sims = [r.what_sim for r in pairs if r.what_sim is not None]
+    ends = [r.what_sim for r in tiles.extremes(laid).collect()]
+    assert max(ends) == pytest.approx(max(sims)) and min(ends) == pytest.approx(min(sims))
