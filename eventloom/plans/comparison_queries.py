@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.rand import race_sql, u01_sql
 from eventloom.functions.text import json_object
-from eventloom.operators import graph, parsing, prepare, sampling
+from eventloom.operators import closures, graph, parsing, prepare, sampling
 from eventloom.plans.queries import _PATHS, _TEST, _split_parts, query
 from eventloom.plans.views import LP_SQL, edges_sql, ev_nodes, lp_rows, news_edges
 from eventloom.runtime import table
@@ -111,8 +111,7 @@ def undirected_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {edges_sql()}{_PATHS}, ego AS (SELECT source, node FROM paths WHERE dist <= 1) SELECT a.source, count(*) AS edges FROM ego a JOIN edges e ON e.u = a.node JOIN ego b ON b.source = a.source AND b.node = e.v GROUP BY a.source")
 def ego_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the graphs that are induced by each node and its direct successors."""
-    nodes, edges = ev_nodes(spark, sf_dir), news_edges(spark, sf_dir)
-    return graph.induced(graph.ego(nodes, edges, 1), edges).groupBy("source").agg(F.count(F.lit(1)).alias("edges"))
+    return closures.ego_edge_counts(news_edges(spark, sf_dir))
 
 
 @query("""WITH d AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE 'soon' END AS text, date_trunc('second', ts) AS s FROM events)
