@@ -1,6 +1,6 @@
 """A training-corpus pipeline over `documents`: each stage calls one operator of the llm package on all that the stage before it kept.
 
-Quality classifier, near-dedup (its name is kept from SimHash), substring dedup, mixing sources to target weights, BPE encoding and decoding.
+Quality classifier, near-dedup by SimHash (and by MinHash where that sees no link), substring dedup, mixing sources to target weights, BPE encoding and decoding.
 Every stage but the last returns the columns of documents; each stage's docstring states what null, empty and repeated rows become.
 """
 
@@ -49,7 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (a five-word Jaccard similarity of 0.8 or more, by chains) stays, the first by (doc_id, place in the table); rows without an id come last.
 
-    Texts without words (null, empty, blank) are one group, of which one row stays; a text with fewer than five words is near only to the same words.
+    SimHash proposes pairs through operator 9's index, MinHash those that differ in more bits; both are verified on the whole sets of shingles. Texts without words (null, empty, blank) are one group, of which one row stays; a text with fewer than five words is near only to the same words.
     """
     return one_near_copy(docs)
 

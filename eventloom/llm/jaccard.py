@@ -1,7 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by exact Jaccard similarity of word shingles, found by SimHash and, where that cannot see them, by MinHash.
 
-Texts of the same words are one class. Classes whose MinHash signatures agree in a whole band are candidates, and every link is verified on
-the two full sets of shingles. In each bucket all members first meet its smallest member; only members that are then still in different
+Texts of the same words are one class. Classes whose SimHash fingerprints are at most BITS bits apart, found through operator 9's Gray-order index, are candidates first.
+Pairs at the least similarity have fingerprints some 10 bits apart, so classes that these links do not join are candidates too if their MinHash signatures
+agree in a whole band. Every link of either is verified on the two full sets of shingles. In each bucket all members first meet its smallest member; only members that are then still in different
 components meet each other, so a large family of near copies costs a link a member and bucket, not one a pair.
 """
 
@@ -19,8 +20,12 @@ from xxhash import xxh3_128, xxh64_intdigest
 from .bytescan import chunks, shingles
 from .components import connected_components
 from .runtime import cut, drop
+from .simhash import fingerprints, near_links
 from .skew import fresh, join_salted
 
+#: Differing bits of two SimHash fingerprints at most.
+BITS = 4
+
 #: Bands, and MinHashes in each: of pairs at Jaccard 0.8 a share of (1 - 0.8 ** 6) ** 64 = 4e-9 agrees in no band.
 BANDS, DEEP = 64, 6
 
@@ -63,6 +68,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"))
 
 
+def simhash_pairs(classes: DataFrame, shingle: int = 5) -> DataFrame:
+    """(a, b), a < b: pairs of classes (rid, text) that join all whose fingerprints a chain of steps of at most BITS differing bits links: of equal ones each with the smallest rid, of others these."""
+    prints = cut(fingerprints(classes, shingle, "rid"))
+    firsts = cut(prints.groupBy("fp").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")))
+    equal = join_salted(prints, firsts, "fp", "n", "rid").select(F.col("first").alias("a"), F.col("rid").alias("b")).where("a < b")
+    x, y = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab")
+    near = near_links(firsts.select("fp"), BITS).join(x, "a").join(y, "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    return cut(equal.union(near).distinct())
+
+
 def _able(sets: DataFrame, percent: int) -> DataFrame:
     """(rid, size, own, parts) of the sets (rid, hashes, parts) that can be near another one: own counts the hashes that no other of the sets has.
 
@@ -116,12 +131,16 @@ def near_copy_groups(rows: DataFrame, shingle: int = 5, percent: int = 80, seed:
     classed = cut(join_salted(same, firsts, "same", "times", "rid").select("rid", "class"))
     drop(same, firsts)
     classes = rows.join(classed.where("rid = class").select("rid"), "rid").select("rid", "text")
+    alike = simhash_pairs(classes, shingle)
     signed = cut(classes.mapInArrow(sign, "band long, rid long"))
     # Only bands of two classes or more are kept, and of their classes only those that can be near another; the smallest one left in a band is its pivot.
     shared = cut(signed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(join_salted(signed, shared, "band", "n", "rid").select("band", "rid"))
     drop(signed, shared)
-    sets = cut(classes.join(members.select("rid").distinct(), "rid").select("rid", "text").mapInArrow(hashed, "rid long, hashes array<long>, parts array<int>"))
+    asked = members.select("rid").union(alike.select("a")).union(alike.select("b")).distinct()
+    sets = cut(classes.join(asked, "rid").select("rid", "text").mapInArrow(hashed, "rid long, hashes array<long>, parts array<int>"))
+    near = _linked(alike, sets, percent)
+    joined = cut(connected_components(near).withColumnRenamed("node", "rid"))
     able = cut(_able(sets, percent))
     members = cut(members.join(able, "rid").select("band", "rid", "size", "own"))
     shared = cut(members.groupBy("band").agg(F.min(F.struct("rid", "size", "own")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -132,8 +151,11 @@ def near_copy_groups(rows: DataFrame, shingle: int = 5, percent: int = 80, seed:
         return F.expr(" and ".join(f"100 * ({a}.size - {a}.own) >= {percent} * ({b}.size + {a}.own)" for a, b in ((x, y), (y, x))))
 
     stars = members.withColumn("at", F.struct("rid", "size", "own")).where(F.col("rid") > F.col("pivot.rid")).where(fits("at", "pivot"))
-    stars = cut(stars.select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b")).distinct())
-    links = _linked(stars, sets, percent)
+    stars = stars.select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b")).distinct()
+    for c in "ab":  # classes that SimHash has joined need not meet
+        stars = stars.join(joined.select(F.col("rid").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    stars = cut(stars.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b"))
+    links = near.union(_linked(stars, sets, percent))
     roots = cut(connected_components(links).withColumnRenamed("node", "rid"))
     placed = cut(members.join(roots, "rid", "left").select("band", F.coalesce("root", "rid").alias("root"), F.struct("rid", "size", "own").alias("at")))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")

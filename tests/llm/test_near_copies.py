@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from eventloom.llm import jaccard
 from tests.conftest import DATA
 
 
@@ -81,3 +83,16 @@ def test_families_whose_members_are_not_all_near(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
     found = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(f"{tmp_path}/docs"), "")
     assert {r.doc_id for r in found.collect()} == kept
+
+
+def test_simhash_alone_finds_close_copies(spark, tmp_path, monkeypatch):
+    """With MinHash bands that no two texts share, copies at most 4 bits apart still go, by the exact check; close fingerprints of texts that are no copies do not link them."""
+    monkeypatch.setattr(jaccard, "_bands", lambda hashes, factors, shifts: (hashes.sum() + np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+    words = [f"w{k}" for k in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(["less", *words])), (4, " ".join(words[::-1])), (5, ""), (6, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    pairs = {(r.a, r.b) for r in jaccard.simhash_pairs(docs.select("doc_id", "text").withColumnRenamed("doc_id", "rid")).collect()}
+    assert pairs <= {(1, 2), (1, 3), (2, 3)} and len(pairs) >= 2
+    found = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()
+    assert sorted(r.doc_id for r in found) == [1, 4, 5, 6]
