@@ -25,3 +25,14 @@ def test_only_the_best_edges_are_tried(spark, monkeypatch):
         assert sorted((r.u, r.v) for r in found.collect()) == sorted(brute_removable(n, edges, k))
         if k == 3:
             assert max(sizes) <= 8
+
+
+def test_weights_are_not_sorted_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(thresholds, "HOT", 50)
+    w = np.random.default_rng(3).normal(size=500)
+    frame = cut(spark.createDataFrame([(float(x),) for x in w], "weight double"))
+    found = sampling.weight_summary(frame)
+    assert "percentile" not in found._jdf.queryExecution().toString().lower()
+    row = found.first()
+    assert row.n == 500 and np.allclose([row.mean, row.median, row.std, row.min, row.max, row.q1, row.q3, row.p90], [w.mean(), np.median(w), w.std(), w.min(), w.max(), *np.quantile(w, (0.25, 0.75, 0.9))])
+    assert tuple(sampling.weight_summary(frame.limit(0)).first())[:2] == (0, None)
