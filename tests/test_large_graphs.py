@@ -36,3 +36,10 @@ def test_weights_are_not_sorted_in_one_task(spark, monkeypatch):
     row = found.first()
     assert row.n == 500 and np.allclose([row.mean, row.median, row.std, row.min, row.max, row.q1, row.q3, row.p90], [w.mean(), np.median(w), w.std(), w.min(), w.max(), *np.quantile(w, (0.25, 0.75, 0.9))])
     assert tuple(sampling.weight_summary(frame.limit(0)).first())[:2] == (0, None)
+
+
+def test_degrees_read_edges_once(spark):
+    edges = cut(spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "u long, v long"))
+    found = graph.degrees(edges)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
+    assert {tuple(r) for r in found.collect()} == {(0, 2, 0, 2), (1, 1, 1, 2), (2, 0, 2, 2)}
