@@ -43,3 +43,20 @@ def test_degrees_read_edges_once(spark):
     found = graph.degrees(edges)
     assert found._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
     assert {tuple(r) for r in found.collect()} == {(0, 2, 0, 2), (1, 1, 1, 2), (2, 0, 2, 2)}
+
+
+def test_tiles_are_not_sent_to_each_tile_they_meet(spark, monkeypatch):
+    from dataclasses import replace
+
+    from eventloom.operators import bridges
+    from eventloom.plans.event_graph import GraphConfig
+    from tests.test_bounds import nodes
+
+    monkeypatch.setattr(bridges, "TILE", 8)
+    asked, best_of, report = [], bridges._best_of, {}
+    monkeypatch.setattr(bridges, "_best_of", lambda tiles, pairs, config: (asked.append(pairs.count()), best_of(tiles, pairs, config))[1])
+    frame = spark.createDataFrame(nodes(5, 400, 400, missing=False), "seq_id long, what_vec array<double>, when timestamp, lat double, lon double, rank long")
+    assert bridges.bounded_bridges(frame, replace(GraphConfig("what"), directed=False), report).count() > 0
+    assert sum(asked) <= 3 * report["tiles"] < report["met"]
+    one = frame.withColumn("rank", frame.rank * 0)
+    assert bridges.bounded_bridges(one, GraphConfig("what"), report).count() == 0 and report["met"] == 0  # a single component
