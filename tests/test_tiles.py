@@ -7,8 +7,10 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.operators import tiles
+from eventloom.operators.pairs import event_pairs
 from eventloom.plans.event_graph import GraphConfig, graph_edges, similarity_edges, weighed_pairs
 
 
@@ -103,3 +105,42 @@ def test_sums_and_extremes_of_all_pairs(spark):
     sims = [r.what_sim for r in pairs if r.what_sim is not None]
     ends = [r.what_sim for r in tiles.extremes(laid).collect()]
     assert max(ends) == pytest.approx(max(sims)) and min(ends) == pytest.approx(min(sims))
+
+
+def test_sums_of_distances_by_places(spark, monkeypatch):
+    """Places and days meet instead of nodes, without vectors: the same sums as over all pairs."""
+    nodes = _nodes(spark, 90, 6).withColumns({"lat": F.round(F.col("lat") / 40) * 40, "lon": F.round(F.col("lon") / 90) * 90})  # many at one place
+    inverse, days = (lambda d: 1 / (1 + d)), (lambda d: np.exp(-d / 2.0))
+    expected = {}
+    for r in event_pairs(nodes.where("when is not null")).collect():
+        expected.setdefault(r.u, []).append((np.nan if r.km is None else float(r.km), float(r.days)))
+    for name, value in {"SMALLEST": 13, "PARTS": 5, "STRIP": 50}.items():
+        monkeypatch.setattr(tiles, name, value)
+    laid = tiles.Tiles(nodes, tiles.Weighing(), vectors=False)
+    assert "what_vec" not in laid.base.columns
+    found = {r.u: r for r in tiles.distance_sums(laid, {"km": inverse}, {"days": days}).collect()}
+    assert found.keys() == expected.keys()
+    for u, d in expected.items():
+        km, apart = np.array(d).T
+        known = ~np.isnan(km)
+        assert found[u].days == pytest.approx(days(apart).sum()) and found[u].km == (pytest.approx(inverse(km[known]).sum()) if known.any() else None)
+
+
+def test_only_times_and_places_travel(spark, tmp_path, monkeypatch):
+    """Queries on times and places store no vectors, and of the events only those that can meet a vector are sent to the join."""
+    from eventloom.plans.queries import QUERIES
+    from eventloom.plans.views import ev_nodes
+
+    for n, m in ((40, 6), (3, 6)):  # fewer events than vectors too
+        folder = str(tmp_path / f"{n}")
+        spark.range(n).select(F.col("id").alias("event_id"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id as int))").alias("ts"), F.col("id").alias("user_id"), F.lit("a").alias("event_type"), F.lit("b").alias("props")).write.parquet(f"{folder}/events.parquet")
+        spark.range(m).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") * 1.0).cast("array<float>").alias("embedding")).write.parquet(f"{folder}/embeddings.parquet")
+        found = ev_nodes(spark, folder)
+        assert {(r.seq_id, r.who) for r in found.collect()} == {(k, k * (n // m)) for k in range(m)}
+        assert f"% {n // m}) = 0" in found._jdf.queryExecution().optimizedPlan().toString() or n < m
+        stored, keep = [], tiles.cut
+        monkeypatch.setattr(tiles, "cut", lambda df: (stored.append(df.columns), keep(df))[1])
+        for name in ("distance_conversions",):
+            assert QUERIES[name](spark, folder).count() == m - 1
+        monkeypatch.setattr(tiles, "cut", keep)
+        assert stored and not any("what_vec" in columns for columns in stored)
