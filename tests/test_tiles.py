@@ -140,7 +140,7 @@ def test_only_times_and_places_travel(spark, tmp_path, monkeypatch):
         assert f"% {n // m}) = 0" in found._jdf.queryExecution().optimizedPlan().toString() or n < m
         stored, keep = [], tiles.cut
         monkeypatch.setattr(tiles, "cut", lambda df: (stored.append(df.columns), keep(df))[1])
-        for name in ("distance_conversions",):
+        for name in ("newer_mask_counts", "distance_conversions"):
             assert QUERIES[name](spark, folder).count() == m - 1
         monkeypatch.setattr(tiles, "cut", keep)
         assert stored and not any("what_vec" in columns for columns in stored)
