@@ -24,8 +24,15 @@ from .simhash import spanning_links
 from .skew import join_salted
 from .vectors import cosine, matrix, sampled, unit, usable
 
-#: Vectors that the codebooks are fitted on at most; vectors wanted in a cell; vectors of a tile in one task.
-SAMPLE, CELL, BLOCK = 16384, 256, 4096
+#: Vectors that the codebooks are fitted on at most; vectors wanted in a cell; codes of a half, as long as a row of cells then fits a task; bytes of a task's vectors of a tile.
+SAMPLE, CELL, CODES, BYTES = 16384, 256, 20, 16 << 20
+#: Tasks wanted at least; cosines that a task holds at once.
+TASKS, COSINES = 24, 1 << 21
+
+
+def block_rows(width: int) -> int:
+    """Vectors of a tile that one task takes: as many as BYTES hold as doubles."""
+    return max(1, BYTES // (8 * max(1, width)))
 
 
 def multi_sequence(first: np.ndarray, second: np.ndarray, reach: float) -> list[tuple[int, int]]:
@@ -115,11 +122,13 @@ def fit_grid(x: np.ndarray, rows: int, least: float, target: float = 1.0, seed:
     if target < 1:
         x = x[rng.permutation(len(x))]
         x, held = x[: -(-len(x) // 2)], x[-(-len(x) // 2) :]
-    k = max(1, min(1024, round(math.sqrt(rows / CELL)), len(x)))
+    # Each vector is sent to a share of the tiles: more codes than CODES would mean more tiles, and more copies of all vectors, the more vectors there are.
+    block = block_rows(x.shape[1])
+    k = max(1, min(1024, round(math.sqrt(rows / CELL)), max(CODES, -(-rows // block)), len(x)))
     half = max(1, x.shape[1] // 2)
     first = _sorted_book(_codebook(x[:, :half], k, rng))
     second = _sorted_book(_codebook(x[:, half:], k, rng)) if x.shape[1] > half else np.zeros((1, 0))
-    grid = Grid(first, second, 2 - 2 * least + 1e-9, max(1, min(len(second), round(BLOCK / max(1.0, rows / (len(first) * len(second)))))))
+    grid = Grid(first, second, 2 - 2 * least + 1e-9, max(1, min(len(second), round(block / max(1.0, rows / (len(first) * len(second)))))))
     if target >= 1:
         return grid
     needed = []
@@ -142,8 +151,9 @@ def _compare(visitors: pa.Table, residents: pa.Table, least: float) -> Iterator[
     p, r = np.asarray(visitors["id"]), np.asarray(residents["id"])
     away = np.asarray(visitors["home"]) != np.asarray(visitors["tile"])
     ux, uy = unit(x), unit(y)
-    for i in range(0, len(x), 512):
-        a, b = np.nonzero(ux[i : i + 512] @ uy.T >= least - 1e-9)
+    step = max(1, min(512, COSINES // max(1, len(y))))
+    for i in range(0, len(x), step):
+        a, b = np.nonzero(ux[i : i + step] @ uy.T >= least - 1e-9)
         a = a + i
         mine = (p[a] != r[b]) & (away[a] | (p[a] < r[b]))
         a, b = a[mine], b[mine]
@@ -166,7 +176,10 @@ def near_vectors(rows: DataFrame, least: float = 0.95, target: float = 1.0, id_c
     total = classes.count()
     if total == 0:
         return marked.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    grid = fit_grid(sampled(classes, "vec", SAMPLE, seed), total, least, target, seed)
+    sample = sampled(classes, "vec", SAMPLE, seed)
+    grid, block = fit_grid(sample, total, least, target, seed), block_rows(sample.shape[1])
+    # Vectors of floats are sent as floats: they are the same numbers.
+    kind = "float" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
     shipped = rows.sparkSession.sparkContext.broadcast(grid)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +190,12 @@ def near_vectors(rows: DataFrame, least: float = 0.95, target: float = 1.0, id_c
                 ends = pa.array(np.searchsorted(row, np.arange(len(home) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home), pa.ListArray.from_arrays(ends, pa.array(tile))], names=["id", "n", "vec", "home", "tiles"])
 
-    routed = cut(classes.select("id", "n", "vec").mapInArrow(route, "id long, n long, vec array<double>, home long, tiles array<long>"))
+    routed = cut(classes.select("id", "n", F.col("vec").cast(f"array<{kind}>").alias("vec")).mapInArrow(route, f"id long, n long, vec array<{kind}>, home long, tiles array<long>"))
     visits = routed.select(F.explode("tiles").alias("tile"), "home", "id", "n", "vec")
     homes = routed.select(F.col("home").alias("tile"), *(F.col(c).alias(c) for c in ("id", "n", "vec")))
-    stays = homes.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    calls = visits.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    stays = homes.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    some = -(-TASKS // (len(grid.first) * -(-len(grid.second) // grid.cells)))  # few tiles: their visitors come in more groups
+    calls = visits.groupBy("tile").agg(F.least(F.count(F.lit(1)), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(some))).alias("groups"))
     sizes = cut(stays.join(calls, "tile"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = visits.join(sizes, "tile").select("tile", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("groups")).alias("group"), "home", "id", "n", "vec")
